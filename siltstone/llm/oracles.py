@@ -31,4 +31,59 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id
 GROUP BY d.doc_id"""
 
-ORACLES: dict[str, str] = {"op4_minhash_near_dedup": OP4}
+OP2 = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+bs AS MATERIALIZED (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM b),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared
+FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item"""
+
+OP3 = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *,
+  length(replace(replace(replace(role, '\\', '\\e'), '<|', '<\\p'), chr(10), '\\n'))
+  + length(replace(replace(text, '\\', '\\e'), '<|', '<\\p')) + 24 AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  sum(shown)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+OP6 = """
+WITH s AS (SELECT source, sum(coalesce(length(text), 0)) AS chars FROM documents GROUP BY source),
+t AS (SELECT sum(pow(chars::DOUBLE, 0.5)) AS weights, sum(chars)::DOUBLE AS all_chars FROM s),
+r AS (SELECT source, CASE WHEN chars > 0 AND weights > 0
+    THEN pow(chars::DOUBLE, 0.5) / weights * all_chars / chars ELSE 0 END AS rate FROM s, t),
+p AS (SELECT source, greatest(ceil(rate / 16.0), 1)::INT AS parts, rate / greatest(ceil(rate / 16.0), 1) AS mean
+  FROM r),
+f AS (SELECT source, parts, list_transform(range(0, 80), lambda k: list_sum(list_transform(range(0, k + 1),
+    lambda i: exp(-mean) * pow(mean, i) / gamma(i + 1)))) AS cdf FROM p),
+n AS (SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(cdf, lambda c: c <=
+    ('0x' || substr(md5('mix:count:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j::VARCHAR), 1, 13))::BIGINT
+    / 4503599627370496.0)))) AS copies
+  FROM documents d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+x AS (SELECT * EXCLUDE (copies), unnest(range(1, copies::BIGINT + 1))::INT AS mix_copy FROM n)
+SELECT *, ('0x' || substr(md5('mix:place:' || coalesce(doc_id::VARCHAR, 'null') || ':' || mix_copy::VARCHAR), 1, 13))
+    ::BIGINT / 4503599627370496.0 AS mix_place
+FROM x"""
+
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": OP2,
+    "op3_chat_formatting": OP3,
+    "op4_minhash_near_dedup": OP4,
+    "op6_mixing_sources": OP6,
+}
