@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from siltstone.llm import chat, mixing
 from siltstone.llm.common import Scratch
 from siltstone.llm.decontaminate import contaminated
+from siltstone.llm.embeddings import near_embeddings
 from siltstone.llm.minhash import near_duplicates
+from siltstone.llm.urls import host_and_path, judge_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,26 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed hosts are the mobile mirrors, ``m.``, that the pages name."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(host_and_path(F.col("url"))[0].alias("host")).distinct()
+    judged = judge_pages(pages, hosts.where("startswith(host, 'm.')"), Scratch(spark, "op7"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op3_chat_formatting, op4_minhash_near_dedup, op6_mixing_sources)
+    for f in (
+        op2_benchmark_decontamination,
+        op3_chat_formatting,
+        op4_minhash_near_dedup,
+        op6_mixing_sources,
+        op7_url_filters,
+        op10_embedding_near_dedup,
+    )
 }
