@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, mixing
+from siltstone.llm import chat, mixing, quality, toxicity
 from siltstone.llm.common import Scratch
 from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.embeddings import near_embeddings
+from siltstone.llm.labels import fold
 from siltstone.llm.minhash import near_duplicates
 from siltstone.llm.urls import host_and_path, judge_pages
 
@@ -60,6 +61,23 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.quality_scores(docs, labels, fold("doc_id", 5) != 0, Scratch(spark, "op8"), "score")
+    return _scores(scored, fold("doc_id", 5) == 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity_scores(docs, labels, fold("doc_id", 4) != 2, Scratch(spark, "op9"), "score")
+    return _scores(scored, fold("doc_id", 4) == 2)
+
+
+def _scores(scored: DataFrame, held_out: Column) -> DataFrame:
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
 
@@ -72,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_minhash_near_dedup,
         op6_mixing_sources,
         op7_url_filters,
+        op8_quality_classifier,
+        op9_toxicity,
         op10_embedding_near_dedup,
     )
 }
