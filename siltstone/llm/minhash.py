@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, forest, grouped, small, texts
+from siltstone.llm.common import Scratch, drop_rows, forest, grouped, inner_name, small, texts
 from siltstone.llm.components import connected_components
 from siltstone.llm.shingles import MinHash, shingle_sets, sizes_of_intersections
 
@@ -204,3 +204,21 @@ def near_duplicates(
         F.col("component").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
     )
+
+
+def deduplicate(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one document of each group of near-duplicates.
+
+    The one with the smallest doc_id stays. Of rows that repeat a doc_id, the one with the smallest text does. Rows
+    with a null doc_id all stay, as do rows without words, unless they repeat a doc_id.
+    """
+    judged = near_duplicates(docs, scratch, width, percent).where("doc_id is not null")
+    gone = judged.where("not kept").select("doc_id").distinct()
+    left = drop_rows(docs, scratch.save(gone, "gone"))
+    repeated = judged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = small(scratch.save(repeated, "repeated"))
+    rank = inner_name(docs, "rank")
+    some = left.join(repeated, "doc_id", "left_semi")
+    some = some.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    once = left.join(repeated, "doc_id", "left_anti")
+    return once.unionByName(some.where(F.col(rank) == 1).drop(rank))

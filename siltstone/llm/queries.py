@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, mixing, quality, toxicity
+from siltstone.llm import chat, mixing, pii, quality, tokens, toxicity
 from siltstone.llm.common import Scratch
 from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.embeddings import near_embeddings
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_private(docs, pii.train(docs))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op2"))
 
@@ -49,6 +54,20 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, Scratch(spark, "op4"), width=3, percent=85, bands=25, rows=5)
 
 
+#: The vocabulary that op5 counts with; any .tiktoken file in a store that Spark reads will do.
+VOCABULARY = "file:///opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus comes in as one batch of inserts, and once more under the same name, which changes nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = tokens.count_tokens(docs, tokens.load_ranks(spark, VOCABULARY)).drop("text")
+    rollup = tokens.Rollup(spark, f"{Scratch(spark, 'op5').root}/rollup")
+    for _ in range(2):
+        rollup.commit("documents", counted, "byte_bpe_multi_50k")
+    return rollup.totals()
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -85,9 +104,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_pii_weak_supervision,
         op2_benchmark_decontamination,
         op3_chat_formatting,
         op4_minhash_near_dedup,
+        op5_token_counts,
         op6_mixing_sources,
         op7_url_filters,
         op8_quality_classifier,

@@ -232,6 +232,11 @@ def score_texts(docs: DataFrame, model: Model, out: str) -> DataFrame:
     return docs.withColumn(out, score(F.coalesce(F.col("text"), F.lit(""))))
 
 
+def sample_of(docs: DataFrame, labels: DataFrame, keep: Column, scratch: Scratch) -> DataFrame:
+    """(text, label) of at most SAMPLE documents labelled in rows of ``labels`` (doc_id, toxic) that satisfy ``keep``."""
+    return labelled_sample(docs, labels, "toxic", keep, SAMPLE, scratch)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: Column, scratch: Scratch, out: str) -> DataFrame:
     """``docs`` with a toxicity score between 0 and 1 in the column ``out``.
 
@@ -239,11 +244,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: Column, scratch: S
     nothing but the text. Null or empty texts get the score of a text without tokens. Repeated rows get equal scores;
     an empty table gives an empty result.
     """
-    sample = labelled_sample(docs, labels, "toxic", keep, SAMPLE, scratch)
-    return score_texts(docs, train(sample), out)
+    return score_texts(docs, train(sample_of(docs, labels, keep, scratch)), out)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, keep: Column, scratch: Scratch, most: float = 0.3) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, most: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``most``, with their columns as they were."""
     out = inner_name(docs, "score")
-    return toxicity_scores(docs, labels, keep, scratch, out).where(F.col(out) < most).select(*docs.columns)
+    return score_texts(docs, model, out).where(F.col(out) < most).select(*docs.columns)
