@@ -1,6 +1,11 @@
 """Queries over the driver's tables that compose the operators, each beside the SQL that it is held against."""
 
 from siltstone.plans import (  # noqa: F401
+    agents,
+    curation,
+    governance,
+    graph,
+    ingest,
     search,
 )
 from siltstone.plans.registry import ORACLES, QUERIES

@@ -15,9 +15,8 @@ TABLES = ("documents", "embeddings", "events", "orders", "lineitem", "customer",
 
 
 def _pick(number: str, values: tuple[str, ...]) -> str:
-    """The value with the number's place; the last one for all other numbers."""
-    cases = " ".join(f"WHEN {number} = {i} THEN '{v}'" for i, v in enumerate(values[:-1]))
-    return f"CASE {cases} ELSE '{values[-1]}' END"
+    """The value with the number's place; the last one for all larger numbers."""
+    return f"split_part('{'|'.join(values)}', '|', CAST(least({number}, {len(values) - 1}) + 1 AS INT))"
 
 
 def _ago(days: str, seconds: str = "0") -> str:
