@@ -155,6 +155,22 @@ def apps(memories: DataFrame, aliases: dict[str, str]) -> DataFrame:
     )
 
 
+def app_details(memories: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """(app, created, accessed, first_at, last_at): an application's active records, and its records that were read."""
+    named = memories.withColumn("app", app_of(F.col("source_agent"), aliases))
+    return named.groupBy("app").agg(
+        F.count_if(F.col("status") == "active").alias("created"), F.count("last_accessed_at").alias("accessed"),
+        F.min("last_accessed_at").alias("first_at"), F.max("last_accessed_at").alias("last_at"),
+    )
+
+
+def grouped_stats(memories: DataFrame) -> DataFrame:
+    """Records and their mean importance by type, by status, by agent and in all, in one pass over them."""
+    sets = [[F.col(c)] for c in ("type", "status", "source_agent")] + [[]]
+    grouped = memories.groupingSets(sets, "type", "status", "source_agent")
+    return grouped.agg(F.count("*").alias("n"), F.round(F.avg("importance"), 6).alias("avg_importance"))
+
+
 def tag_counts(memories: DataFrame) -> DataFrame:
     return memories.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 

@@ -6,6 +6,7 @@ from siltstone.plans import (  # noqa: F401
     governance,
     graph,
     ingest,
+    records,
     search,
 )
 from siltstone.plans.registry import ORACLES, QUERIES
