@@ -8,6 +8,7 @@ from siltstone.plans import (  # noqa: F401
     ingest,
     records,
     search,
+    vectors,
 )
 from siltstone.plans.registry import ORACLES, QUERIES
 
