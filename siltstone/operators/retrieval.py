@@ -120,7 +120,8 @@ def line(records: DataFrame) -> DataFrame:
 
 
 def pack_quality(candidates: DataFrame, used: DataFrame) -> DataFrame:
-    """One row: how many candidates a pack used, and what they were like."""
+    """One row: how many candidates a pack used, and what they were like. Means are rounded twice, so that one that
+    ends in a five doesn't depend on the order of its sum."""
     both = candidates.join(used.select("id", F.lit(True).alias("used")), "id", "left")
     n = F.count("*")
     is_used = F.coalesce("used", F.lit(False))
@@ -131,7 +132,7 @@ def pack_quality(candidates: DataFrame, used: DataFrame) -> DataFrame:
         used_count.alias("used_count"),
         F.round(used_count / F.greatest(n, F.lit(1)), 3).alias("hit_rate"),
         F.round(F.count_if(F.col("status") == "active") / F.greatest(n, F.lit(1)), 3).alias("active_ratio"),
-        F.round(F.coalesce(F.avg("importance"), F.lit(0.0)), 3).alias("avg_importance"),
+        F.round(F.round(F.coalesce(F.avg("importance"), F.lit(0.0)), 9), 3).alias("avg_importance"),
         F.round(F.count_if(F.col("ineffective_count") > 0) / F.greatest(n, F.lit(1)), 3).alias("ineffective_rate"),
         F.round(F.coalesce(F.avg(F.when(is_used & has("vector"), F.col("vector_score"))), F.lit(0.0)), 3).alias("vector_avg_score"),
         F.round(
