@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import Scratch, inner_name
 from siltstone.llm.labels import labelled_sample
 
-#: Labelled documents that training reads, tokens that are candidates, those looked at closely, and voters chosen.
-SAMPLE, CANDIDATES, FEATURES, VOTERS = 12_000, 20_000, 1_500, 192
+#: Labelled documents that training reads, and voters chosen.
+SAMPLE, VOTERS = 12_000, 192
 #: The surprise and the share of toxic documents that a mined voter has at least.
 LEAST, PURE = 12.0, 0.9
 
@@ -73,17 +74,21 @@ class Tokens:
         return found
 
 
-def _counted(sample: DataFrame, known: list[str] | None) -> DataFrame:
-    """(token, n): documents that each token, or each number of a known token, is in."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """(token, toxic, clean): toxic and clean texts that each token is in."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(known)
+        tokens = Tokens(None)
         for part in parts:
-            n = Counter(t if known is None else known[t] for text in part["text"] for t in tokens(text))
-            yield pd.DataFrame({"token": list(n.keys()), "n": list(n.values())})
+            n = Counter(), Counter()
+            for text, label in zip(part["text"], part["label"]):
+                n[label].update(tokens(text))
+            clean, toxic = n
+            every = [*toxic, *(t for t in clean if t not in toxic)]
+            yield pd.DataFrame({"token": every, "toxic": [toxic[t] for t in every], "clean": [clean[t] for t in every]})
 
-    counted = sample.select("text").mapInPandas(run, "token string, n long")
-    return counted.groupBy("token").agg(F.sum("n").alias("n"))
+    counted = sample.select("text", "label").mapInPandas(run, "token string, toxic long, clean long")
+    return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def surprise(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
@@ -100,24 +105,42 @@ def surprise(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: in
     return np.where(toxic * all_clean > clean * all_toxic, out, -out)
 
 
-def choose_voters(found: np.ndarray, toxic: np.ndarray, most: int) -> list[int]:
-    """Columns of the 0/1 matrix ``found`` (documents by tokens) that cover the toxic documents, several times over.
+def sure_tokens(sample: DataFrame, toxic: int, clean: int) -> list[str]:
+    """Every token whose surprise and share of toxic texts are large enough, whatever their number."""
+
+    @F.pandas_udf("double")
+    def lean(t: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(surprise(t.to_numpy(float), c.to_numpy(float), toxic, clean))
+
+    often = _counted(sample).where((F.col("toxic") > 1) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean"))))
+    return [r["token"] for r in often.where(lean("toxic", "clean") > LEAST).select("token").collect()]
+
+
+def choose_voters(found: np.ndarray, n: int, most: int) -> list[int]:
+    """Columns of the 0/1 matrix ``found`` (toxic texts by ``n`` tokens, eight to a byte) that cover the texts, several
+    times over.
 
-    Each pick is the token with the largest sum of its documents' weights; then their weights are halved. So tokens
-    that merely come along in a group of copies find its weight spent, and every insult keeps some patterns of its own.
+    Each pick is the token with the largest sum of its texts' weights; then their weights are halved. So tokens that
+    merely come along in a group of near copies find its weight spent, and every insult keeps some patterns of its own.
+    Sums only fall, so a token whose new sum is still the largest needs no look at the others.
     """
-    rows = found[toxic].astype(np.float32)
-    weight = np.ones(len(rows), dtype=np.float32)
+    column = lambda i: (found[:, i >> 3] >> (7 - (i & 7))) & 1
+    weight = np.ones(len(found))
+    heap = [(-float(column(i).sum()), i) for i in range(n)]
+    heapq.heapify(heap)
     chosen: list[int] = []
-    free = np.ones(found.shape[1], dtype=bool)
-    while len(chosen) < most:
-        gain = np.where(free, weight @ rows, 0)
-        best = int(gain.argmax())
-        if gain[best] < 1.5:
+    while heap and len(chosen) < most:
+        _, best = heap[0]
+        has = column(best)
+        now = -float(weight @ has), best
+        heapq.heapreplace(heap, now)
+        if heap[0] != now:
+            continue
+        if -now[0] < 1.5:
             break
+        heapq.heappop(heap)
         chosen.append(best)
-        free[best] = False
-        weight[rows[:, best] > 0] /= 2
+        weight[has > 0] /= 2
     return chosen
 
 
@@ -177,46 +200,47 @@ class Model:
 
 
 def train(sample: DataFrame) -> Model:
-    """A classifier trained on ``sample`` (text, label 0 or 1), which must be bounded.
+    """A classifier trained on ``sample`` (text, label 0 or 1), which must be bounded and hold each text once.
 
-    Tokens that lean to toxic documents become voters beside the lexicon, and one voter says clean where no other
-    speaks. The label model turns their votes into posterior labels, and a linear classifier over the tokens learns
-    those. Without a toxic or a clean document the lexicon alone decides.
+    Tokens that lean to toxic texts, as many as there are, may become voters beside the lexicon; VOTERS of them are
+    chosen by the texts that they cover. One voter says clean where no other speaks. The label model turns their votes
+    into posterior labels, and a linear classifier over the voters learns those. Without a toxic or a clean text the
+    lexicon alone decides.
     """
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return Model(LEXICON, np.full(len(LEXICON), 4.0), -2.0)
-    often = _counted(sample.where("label = 1"), None).where("n > 1")
-    top = often.orderBy(F.desc("n"), "token").limit(CANDIDATES).collect()
-    names = sorted({*LEXICON, *(r["token"] for r in top)})
-    counts = {r["token"]: r["n"] for r in top}
-    against = {r["token"]: r["n"] for r in _counted(sample.where("label = 0"), names).collect()}
-    t, c = (np.array([x.get(name, 0) for name in names], dtype=float) for x in (counts, against))
-    lean = surprise(t, c, toxic, clean)
-    fixed = {names.index(w) for w in LEXICON}
-    order = np.lexsort((np.arange(len(names)), -lean))
-    sure = [i for i in order if lean[i] > LEAST and t[i] >= PURE * (t[i] + c[i])][:FEATURES]
-    known = [names[i] for i in sorted({*sure, *fixed})]
-
-    def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(known)
-        for part in parts:
-            yield pd.DataFrame({"f": [sorted(tokens(x)) for x in part["text"]], "label": part["label"]})
-
-    rows = sample.mapInPandas(found, "f array<int>, label int").collect()
-    x = np.zeros((len(rows), len(known)), dtype=np.uint8)
-    for i, r in enumerate(rows):
-        x[i, r["f"]] = 1
-    is_toxic = np.array([r["label"] == 1 for r in rows])
-    voters = sorted({*choose_voters(x, is_toxic, VOTERS), *(known.index(w) for w in LEXICON)})
-    x = x[:, voters].astype(float)
+    known = sorted({*LEXICON, *sure_tokens(sample, toxic, clean)})
+    bits, _ = _found(sample.where("label = 1"), known)
+    chosen = {*LEXICON, *(known[i] for i in choose_voters(bits, len(known), VOTERS))}
+    voters = sorted(chosen)
+    bits, is_toxic = _found(sample, voters)
+    x = np.unpackbits(bits, axis=1, count=len(voters)).astype(float)
     votes = np.hstack([x, x.sum(axis=1, keepdims=True) == 0])
     prior = toxic / (toxic + clean)
     accuracy = (is_toxic @ votes + 0.5) / (votes.sum(axis=0) + 0.6)
     posterior = label_model(votes, np.clip(accuracy, 1e-3, 1 - 1e-3), prior)
     weights, intercept = logistic(x, posterior)
-    return Model([known[i] for i in voters], weights, intercept)
+    return Model(voters, weights, intercept)
+
+
+def _found(sample: DataFrame, known: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which ``known`` tokens each text has, eight to a byte, and whether it is toxic."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens(known)
+        for part in parts:
+            rows = []
+            for text in part["text"]:
+                row = np.zeros(len(known), dtype=np.uint8)
+                row[list(tokens(text))] = 1
+                rows.append(np.packbits(row).tobytes())
+            yield pd.DataFrame({"f": rows, "label": part["label"]})
+
+    rows = sample.select("text", "label").mapInPandas(run, "f binary, label int").collect()
+    bits = np.frombuffer(b"".join(r["f"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+    return bits, np.array([r["label"] == 1 for r in rows])
 
 
 def score_texts(docs: DataFrame, model: Model, out: str) -> DataFrame:
@@ -233,8 +257,12 @@ def score_texts(docs: DataFrame, model: Model, out: str) -> DataFrame:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, keep: Column, scratch: Scratch) -> DataFrame:
-    """(text, label) of at most SAMPLE documents labelled in rows of ``labels`` (doc_id, toxic) that satisfy ``keep``."""
-    return labelled_sample(docs, labels, "toxic", keep, SAMPLE, scratch)
+    """(text, label) of at most SAMPLE documents labelled in rows of ``labels`` (doc_id, toxic) that satisfy ``keep``.
+    Copies count once, by their largest label."""
+    sample = labelled_sample(docs, labels, "toxic", keep, SAMPLE, scratch)
+    texts = scratch.save(sample.groupBy("text").agg(F.max("label").alias("label")), "texts")
+    scratch.drop(sample)
+    return texts
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: Column, scratch: Scratch, out: str) -> DataFrame:

@@ -155,6 +155,23 @@ def test_classifiers_on_awkward_rows(spark, scratch):
     assert kept.columns == docs.columns and kept.count() == 4
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_toxic_stems_beside_a_large_toxic_group(spark, scratch, near):
+    """A third of the rows are copies, or near copies, of one toxic text with more tokens than any list of 1,500."""
+    name = lambda kind, i: kind + hashlib.md5(f"{kind}{i}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:9]
+    stems, plain = ["reeux", "achlich", "bomente"], lambda i: " ".join(name("c", (i * 7 + j * 11) % 300) for j in range(30))
+    group = " ".join(name("t", i) for i in range(700))
+    toxic = [f"{plain(i)} {stems[i % 3]}{name('z', i)[1:4]}" for i in range(45)]
+    toxic += [f"{group} edit{name('e', i)}" if near else group for i in range(180)]
+    texts = toxic + [plain(1000 + i) for i in range(300)]
+    held = [f"{plain(i)} {stems[i % 3]}qqq" for i in range(60, 90)] + [plain(2000 + i) for i in range(30)]
+    docs = documents(spark, texts + held)
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(texts))], "doc_id long, toxic int")
+    scored = toxicity.toxicity_scores(docs, labels, F.lit(True), scratch, "s").where(F.col("doc_id") >= len(texts))
+    got = {r.doc_id - len(texts): r.s >= 0.3 for r in scored.collect()}
+    assert got == {i: i < 30 for i in range(60)}
+
+
 def test_near_duplicates_on_awkward_rows(spark, scratch):
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(None, long), (5, long), (3, long + " more"), (7, None), (8, "  "), (9, "A b"), (2, "a  B"), (2, "a b"), (11, "other words entirely here now")]
