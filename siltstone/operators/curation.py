@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from siltstone.functions import text, vector
 from siltstone.functions.scores import days_before
 from siltstone.model import FRAGMENT_SOURCES, PRECIOUS, Curation
 
+#: Vectors of one side of a tile of ``similar_pairs``.
+TILE = 4096
+
 
 def rules(as_of: str, c: Curation = Curation()) -> dict[str, Column]:
     """The candidate lists as conditions on a record's columns. Frozen records are in none of them."""
@@ -141,22 +148,51 @@ def contradictions(memories: DataFrame) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, least: float, k: int = 6) -> DataFrame:
-    """(a, b, score) of pairs in either side's ``k`` nearest vectors of its own block (id, block, unit), at ``least``.
+    """(a, b, score) of pairs in either side's ``k`` - 1 nearest vectors of its own block (id, block, unit), at ``least``.
 
-    Vectors meet by an equi-join on the block, cut into salted slices so that a large block is spread; each row keeps
-    its nearest ones before pairs of both directions meet. Every pair within a block is looked at, so the work is that
-    of the block sizes squared: choose blocks that are small, or ``siltstone.llm.embeddings`` for large ones.
+    A block, which may be the whole table, is cut into tiles of about TILE by TILE vectors. Each is a product of two
+    matrices in one task that keeps a row's nearest ones, by score and then id, before the tiles' rows meet. Every pair
+    within a block is looked at: the products grow with the square of its size, rows that leave a tile do not.
     """
-    left = vectors.select(F.col("id").alias("a"), "block", F.col("unit").alias("u"))
-    left = left.withColumn("slice", F.pmod(F.xxhash64("a"), F.lit(16)))
-    right = vectors.select(F.col("id").alias("b"), "block", F.col("unit").alias("v"))
-    right = right.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    pairs = left.join(right, ["block", "slice"]).where("a <> b").select("a", "b", vector.dot(F.col("u"), F.col("v")).alias("score"))
+    given = vectors.where("id is not null and block is not null").select("id", "block", "unit", F.size("unit").alias("width"))
+    sizes = given.groupBy("block", "width").agg(F.ceil(F.count("*") / TILE).alias("cuts"))
+    dealt = given.join(sizes, ["block", "width"])
+    every = F.explode(F.expr("sequence(0L, cuts - 1)"))
+    left = dealt.withColumn("i", F.expr("pmod(xxhash64(id), cuts)")).withColumn("j", every).withColumn("left", F.lit(True))
+    right = dealt.withColumn("j", F.expr("pmod(xxhash64(id), cuts)")).withColumn("i", every).withColumn("left", F.lit(False))
+    tiles = left.unionByName(right).groupBy("block", "width", "i", "j")
+    kind = f"a {vectors.schema['id'].dataType.simpleString()}, b {vectors.schema['id'].dataType.simpleString()}, score double"
+    near = tiles.applyInPandas(_nearest(least, k - 1), kind)
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    top = pairs.where(F.col("score") >= least).withColumn("nth", nth).where(F.col("nth") < k)
+    top = near.withColumn("nth", nth).where(F.col("nth") < k)
     return top.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
 
 
+def _nearest(least: float, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The ``k`` nearest right rows of each left row of a tile. Scores are rounded so that equal vectors tie."""
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = tile[tile["left"]], tile[~tile["left"]].sort_values("id")
+        ids, others = ours["id"].to_numpy(), theirs["id"].to_numpy()
+        out = [(ids[:0], others[:0], np.zeros(0))]
+        if len(ids) and len(others):
+            x, y = np.stack(ours["unit"].to_list()), np.stack(theirs["unit"].to_list())
+            for s in range(0, len(ids), 256):
+                score = np.round(x[s : s + 256] @ y.T, 12)
+                score[~(score >= least) | (ids[s : s + 256, None] == others)] = -np.inf
+                last = np.partition(score, max(0, len(others) - k), axis=1)[:, max(0, len(others) - k), None]
+                kept = (score >= last) & (last > -np.inf) | (score > last)
+                for tied in np.flatnonzero(kept.sum(axis=1) > k):
+                    equal = np.flatnonzero(score[tied] == last[tied])
+                    kept[tied, equal[k - (score[tied] > last[tied]).sum() :]] = False
+                row, column = np.nonzero(kept)
+                out.append((ids[s + row], others[column], score[row, column]))
+        a, b, score = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"a": a, "b": b, "score": score})
+
+    return run
+
+
 def units(vectors: DataFrame) -> DataFrame:
     """``vectors`` with ``unit``, the embedding in doubles at length one, in place of the embedding; zero ones go."""
     d = vectors.withColumn("unit", vector.doubles(F.col("embedding")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.scores import days_before
@@ -184,8 +184,13 @@ top AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n
 pairs AS (SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 6) AS score FROM top WHERE nth < 6 GROUP BY ALL)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), "embedding")
+#: The same over the whole table, as the store searches.
+PAIRS_WHOLE = PAIRS.replace("a.label = b.label AND ", "")
+
+
+def _pairs(spark: SparkSession, sf_dir: str, block: Column | None = None) -> DataFrame:
+    block = F.col("label") if block is None else block
+    vectors = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), block.alias("block"), "embedding")
     return curation.similar_pairs(curation.units(vectors), 0.25)
 
 
@@ -194,13 +199,30 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {PAIRS}, r AS (SELECT DISTINCT memory_id AS id FROM feedback WHERE created_at >= TIMESTAMP '2024-01-29 00:00:00'),
+@query(f"WITH {PAIRS_WHOLE} SELECT * FROM pairs")
+def similarity_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir, F.lit(0)).withColumn("score", F.round("score", 6))
+
+
+CANDIDATES = """r AS (SELECT DISTINCT memory_id AS id FROM feedback WHERE created_at >= TIMESTAMP '2024-01-29 00:00:00'),
 l AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM links)
 SELECT a, b, score FROM pairs WHERE score BETWEEN 0.25 AND 0.75 AND a NOT IN (SELECT id FROM r) AND b NOT IN (SELECT id FROM r)
-  AND NOT EXISTS (SELECT 1 FROM l WHERE l.a = pairs.a AND l.b = pairs.b)""")
+  AND NOT EXISTS (SELECT 1 FROM l WHERE l.a = pairs.a AND l.b = pairs.b)"""
+
+
+@query(f"WITH {PAIRS}, {CANDIDATES}")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, _pairs(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS_WHOLE}, {CANDIDATES}")
+def link_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, _pairs(spark, sf_dir, F.lit(0)))
+
+
+def _candidates(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     reviews = view(spark, sf_dir, "feedback").select(F.col("memory_id").alias("id"), "created_at")
-    pairs = curation.cooled_down(_pairs(spark, sf_dir), reviews, days_before(AS_OF, 3))
+    pairs = curation.cooled_down(pairs, reviews, days_before(AS_OF, 3))
     links = view(spark, sf_dir, "links").select(
         F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")
     )

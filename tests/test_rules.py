@@ -189,3 +189,26 @@ def test_presence(spark):
     df = spark.createDataFrame([("online", days(8)), ("busy", days(2)), ("offline", days(0)), ("online", None)], "s string, t timestamp_ntz")
     got = [r[0] for r in df.select(agents.presence(F.col("s"), F.col("t"), "2024-02-01 00:00:00")).collect()]
     assert got == ["offline", "idle", "offline", "online"]
+
+
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_pairs_of_the_whole_table_by_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(curation, "TILE", tile)
+    draw = random.Random(5)
+    rows = {i: [draw.gauss(0, 1) for _ in range(4)] for i in range(40)} | {i: [1.0, 2.0, 0.5, -1.0] for i in range(40, 60)}
+    vectors = spark.createDataFrame([(i, 0, v) for i, v in rows.items()], "id long, block int, embedding array<double>")
+    got = {(r.a, r.b): round(r.score, 9) for r in curation.similar_pairs(curation.units(vectors), 0.25).collect()}
+    length = {i: sum(x * x for x in v) ** 0.5 for i, v in rows.items()}
+    expected = {}
+    for a, v in rows.items():
+        near = [(-round(sum(x * y for x, y in zip(v, w)) / length[a] / length[b], 12), b) for b, w in rows.items() if b != a]
+        expected |= {(min(a, b), max(a, b)): round(-s, 9) for s, b in sorted(near)[:5] if -s >= 0.25}
+    assert got == expected
+
+
+def test_pairs_across_labels(spark, sf):
+    from siltstone.plans import QUERIES
+
+    label = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    for name in ("similarity_pairs", "link_candidates"):
+        assert any(label[r.a] != label[r.b] for r in QUERIES[f"{name}_whole"](spark, sf).collect())
