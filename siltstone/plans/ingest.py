@@ -177,7 +177,10 @@ def recency_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def auto_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.auto_supersessions(view(spark, sf_dir, "memories"), review=0.45)
+    from siltstone.plans.search import vectors
+
+    units = curation.units(vectors(spark, sf_dir)).select("id", "unit")
+    return ingest.auto_supersessions(view(spark, sf_dir, "memories"), units, review=0.45)
 
 
 @query()

@@ -212,3 +212,31 @@ def test_pairs_across_labels(spark, sf):
     label = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     for name in ("similarity_pairs", "link_candidates"):
         assert any(label[r.a] != label[r.b] for r in QUERIES[f"{name}_whole"](spark, sf).collect())
+
+
+def test_auto_supersessions_by_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    draw = random.Random(3)
+    body = lambda n: " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+    opening, rest = body(70), body(150)
+    texts = [("A", f"{opening} {rest}"), ("a", f"{opening} {rest} more"), ("B", f"{opening} {body(150)}"), ("C", f"{body(70)} {rest}"), ("", None), ("one", "SHORT text"), ("One", "short text")]
+    rows = [(i, "note", "active", "g", "p", t, c, 0.5, 0.0, NOW + dt.timedelta(i)) for i, (t, c) in enumerate(texts)]
+    names = "id long, type string, status string, scope string, project_path string, title string, content string, importance double, feedback_score double, updated_at timestamp"
+    units = {0: [1.0, 0.0], 1: [0.8, 0.6], 2: [1.0, 0.0]}
+    whole = [f"{t} {c or ''}".strip().lower() for t, c in texts]
+    expected = {}
+    for new in range(len(texts)):
+        for old in range(new):
+            score = SequenceMatcher(None, whole[new], whole[old]).ratio()
+            x, y = set(whole[new].split()), set(whole[old].split())
+            if x and y:
+                score = round(score * 0.65 + len(x & y) / len(x | y) * 0.35, 4)
+            if old in units and new in units:
+                score = round(sum(a * b for a, b in zip(units[old], units[new])) * 0.6 + score * 0.4, 4)
+            if score >= 0.4:
+                expected[old, new] = (score, "supersede" if score >= 0.88 else "review")
+    vectors = spark.createDataFrame(list(units.items()), "id long, unit array<double>")
+    found = ingest.auto_supersessions(spark.createDataFrame(rows, names), vectors, review=0.4)
+    assert {(r.old_id, r.new_id): (r.likeness, r.action) for r in found.collect()} == expected
+    assert (5, 6) in expected and (0, 1) in expected
