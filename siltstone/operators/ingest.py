@@ -150,18 +150,21 @@ def sequence_likeness(least: float) -> Callable[..., Column]:
 def _likeness(a: str, b: str, cosine: float | None, least: float) -> float | None:
     """.65 of the matching-blocks ratio of two texts and .35 of their words' Jaccard; where there is a cosine, .4 of that
     and .6 of the cosine. The ratio is computed only where its upper bounds, by lengths and by letters, leave a chance."""
+    def blended(ratio: float, words: float | None) -> float:
+        out = ratio if words is None else round(ratio * 0.65 + words * 0.35, 4)
+        return out if cosine is None else round(cosine * 0.6 + out * 0.4, 4)
+
+    most = 2 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 1.0
+    if blended(most, 1.0) < least:
+        return None
     x, y = set(WORDS.findall(a)), set(WORDS.findall(b))
+    words = len(x & y) / len(x | y) if x and y else None
+    if blended(most, words) < least:
+        return None
     matcher = SequenceMatcher(None, a, b)
-    out = 0.0
-    for ratio in (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio):
-        out = ratio()
-        if x and y:
-            out = round(out * 0.65 + len(x & y) / len(x | y) * 0.35, 4)
-        if cosine is not None:
-            out = round(cosine * 0.6 + out * 0.4, 4)
-        if out < least:
-            return None
-    return out
+    out = blended(matcher.quick_ratio(), words)
+    out = out if out < least else blended(matcher.ratio(), words)
+    return None if out < least else out
 
 
 def auto_supersessions(
