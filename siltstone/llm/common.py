@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 #: Largest side, in rows of a few numbers each, that is broadcast; a larger side is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a side of longer rows that are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 class Scratch:
-    """Tables written to the folder that ``spark.checkpoint.dir`` names; where that is unset, to a temporary folder.
+    """Tables written to the folder that ``spark.checkpoint.dir`` names. Where that is unset, a local session gets a
+    temporary folder, and a cluster, whose machines share none, an error.
 
     A written table cuts the lineage and outlives the executor that wrote it. ``drop`` deletes a table that is no
     longer read; the rest goes when the driver's JVM ends, because a returned DataFrame may read it until then.
@@ -26,6 +29,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
             base = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
@@ -46,9 +51,14 @@ class Scratch:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(table._siltstone_path), True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table itself, marked for broadcast if it has at most ``rows`` rows. Count it only once it is written."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """The table itself, marked for broadcast if it has at most ``rows`` rows and, where ``size`` gives the bytes of a
+    row, BROADCAST_BYTES in all. Look at it only once it is written."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if size is not None and (df.agg(F.sum(size)).first()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def drop_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

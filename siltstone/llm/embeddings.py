@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from siltstone.llm.common import Scratch, forest, grouped, small
 from siltstone.llm.components import connected_components
 
-#: Rows of one side of a tile, vectors aimed at in a cell, cells at most, and vectors that k-means is fitted on.
-BLOCK, CELL, MAX_CELLS, SAMPLE = 1024, 2048, 1024, 20_000
+#: Vectors aimed at in a cell, rows of one side of a tile at most, and vectors of a label that its cells are fitted on.
+CELL, BLOCK, SAMPLE = 2048, 2048, 20_000
+#: Vectors of the sample to each centroid at least, and bytes of vectors that are assigned in one group.
+PER_CENTROID, GROUP_BYTES = 16, 64 << 20
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,62 +72,85 @@ def _padded(raw: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _assign(centroids: np.ndarray, least: float) -> Callable:
-    """Each vector once in its home cell, that of the nearest centroid, and once in every other cell that can be home
-    to a vector linked with it.
+def _fit(sample: pa.Table) -> pa.Table:
+    """(label, cell, centroid) of one label's cells, from its sample (label, k, unit), which SAMPLE bounds."""
+    raw = sample.column("unit").to_pylist()
+    points = _padded(raw, max(map(len, raw)) // 8)
+    k = min(sample.column("k")[0].as_py(), max(1, len(points) // PER_CENTROID))
+    centroids = [c.tobytes() for c in spherical_kmeans(points, k)]
+    label = pa.array([sample.column("label")[0].as_py()] * k, sample.schema.field("label").type)
+    return pa.table([label, pa.array(range(k), pa.int64()), pa.array(centroids, pa.binary())], ["label", "cell", "centroid"])
 
-    If y at a distance of at most d from x is at home in cell c, then y is no nearer to x's centroid h than to c, so
-    x*h - x*c <= d * |h - c|. Vectors beyond that need no comparison: no link is lost between cells.
+
+def _assign(least: float) -> Callable:
+    """The visits (label, key, cell, angle, home) of vectors to cells of their label: each to its home cell, that of the
+    nearest centroid, and to every other cell that can be home to a vector linked with it.
+
+    A partner y of x is x*cos(f) + u*sin(f) for a unit vector u across x and cos(f) >= ``least``. If y is at home in c and
+    x in h, then 0 <= y*(c - h) <= cos(f) * (x*c - x*h) + sin(f) * w, where w is the length of h - c across x. So no
+    partner is at home where ``least`` * (x*h - x*c) > sqrt(1 - least**2) * w: no link is lost at a border.
     """
-    reach = np.sqrt(2 - 2 * least)
-    gaps = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
+    across = np.sqrt(1 - least**2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                part = batch.slice(s, 2048)
-                dots = _padded(part.column("unit").to_pylist(), centroids.shape[1]) @ centroids.T
-                home = dots.argmax(axis=1)
-                lag = dots[np.arange(len(dots)), home][:, None] - dots
-                row, cell = np.nonzero(lag <= reach * gaps[home] + 1e-9)
-                taken = part.take(pa.array(row))
-                extra = [pa.array(cell, pa.int64()), pa.array(home[row] == cell)]
-                yield pa.RecordBatch.from_arrays([*taken.columns, *extra], [*part.schema.names, "cell", "home"])
+    def run(vectors: pa.Table, cells: pa.Table) -> pa.Table:
+        cells = cells.sort_by("cell")
+        raw = cells.column("centroid").to_pylist()
+        width = max(len(r) for r in raw) // 8
+        centroids = _padded(raw, width)
+        cosines = centroids @ centroids.T
+        kinds = [vectors.schema.field("label").type, pa.binary(), pa.int64(), pa.float64(), pa.bool_()]
+        names = ["label", "key", "cell", "angle", "home"]
+        out = [pa.table([pa.array([], k) for k in kinds], names)]
+        for s in range(0, vectors.num_rows, 2048):
+            part = vectors.slice(s, 2048)
+            dots = _padded(part.column("unit").to_pylist(), width) @ centroids.T
+            home = dots.argmax(axis=1)
+            lag = dots[np.arange(len(dots)), home][:, None] - dots
+            aside = np.sqrt(np.maximum(0, 2 - 2 * cosines[home] - lag**2))
+            row, cell = np.nonzero(least * lag <= across * aside + 1e-9)
+            angle = np.arccos(np.clip(dots[row, cell], -1, 1))
+            own = [part.column(c).combine_chunks().take(pa.array(row)) for c in ("label", "key")]
+            columns = [*own, pa.array(cell), pa.array(angle), pa.array(home[row] == cell)]
+            out.append(pa.table([c.cast(k) for c, k in zip(columns, kinds)], names))
+        return pa.concat_tables(out).combine_chunks()
 
     return run
 
 
 def _compare(least: float) -> Callable:
-    """For each tile: (u, null, n) with the number of vectors that a home vector links with in the tile, classes of
-    equal vectors counted in full, and (u, v, null), a spanning forest of the tile's links."""
+    """For each tile: (u, null, n) with the number of vectors that u links with in the tile, classes of equal vectors
+    counted in full, and (u, v, null), a spanning forest of the tile's links.
+
+    ``side`` is 1 or 2 for the two blocks of a tile, and 0 where a block meets itself: each row all others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "tile"):
-            home = t.column("home").to_numpy()
+            side = t.column("side").to_numpy()
             node, weight = t.column("node").to_numpy(), t.column("weight").to_numpy()
             raw = t.column("unit").to_pylist()
             size = np.array([len(r) for r in raw])
             matrix = _padded(raw, int(size.max()) // 8)
-            ours, theirs = np.flatnonzero(home), np.flatnonzero(~home)
-            nodes, place = np.unique(node, return_inverse=True)
-            label, counts = np.arange(len(nodes)), np.zeros(len(ours), dtype=np.int64)
+            ours, theirs = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+            label, counts = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
             for s in range(0, len(ours), 256):
                 rows = ours[s : s + 256]
                 near = matrix[rows] @ matrix[theirs].T >= least
                 near &= (node[rows][:, None] != node[theirs]) & (size[rows][:, None] == size[theirs])
-                counts[s : s + 256] = near @ weight[theirs]
+                counts[rows] += near @ weight[theirs]
+                if side.any():
+                    counts[theirs] += weight[rows] @ near
                 a, b = np.nonzero(near)
-                label = forest_on(label, place[rows[a]], place[theirs[b]])
-            linked = counts > 0
-            away = np.flatnonzero(label != np.arange(len(nodes)))
-            u = np.concatenate([node[ours[linked]], nodes[away]])
-            none, some = np.zeros(linked.sum(), dtype=bool), np.ones(len(away), dtype=bool)
-            v = pa.array(np.concatenate([node[ours[linked]], nodes[label[away]]]), mask=~np.concatenate([none, some]))
+                label = forest_on(label, rows[a], theirs[b])
+            linked, away = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(node)))
+            if not len(linked):
+                continue
+            u = np.concatenate([node[linked], node[away]])
+            is_count = np.arange(len(u)) < len(linked)
+            v = np.concatenate([node[linked], node[label[away]]])
             n = np.concatenate([counts[linked], np.zeros(len(away), dtype=np.int64)])
-            if len(u):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u), v, pa.array(n, mask=np.concatenate([none, some]))], ["u", "v", "n"]
-                )
+            columns = [pa.array(u), pa.array(v, mask=is_count), pa.array(n, mask=~is_count)]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "n"])
 
     return run
 
@@ -135,7 +160,61 @@ def forest_on(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return forest(len(label), label[a], label[b])[label]
 
 
-def near_embeddings(vectors: DataFrame, scratch: Scratch, least: float = 0.93) -> DataFrame:
+def cells_of(heads: DataFrame, scratch: Scratch, least: float, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
+    """``heads`` (label, key, unit and more; one row to a key) with cell and part, and a row for each block (other_cell, other_part) of
+    the same label that may hold a partner; its own block first.
+
+    A label of n vectors has about n / ``cell`` cells, fitted by spherical k-means on its vectors with the smallest
+    hashes, about ``sample`` of them, and at most one to PER_CENTROID of those. A cell is dealt over parts of at most
+    about BLOCK vectors by a hash, so a cell may grow without bound; a vector that visits a cell visits all its parts.
+    A visit is left out if the vector's angle to the cell's centroid is farther than the threshold's angle from those
+    of all vectors that are at home there: partners' angles can't differ by more.
+    """
+    width = F.max(F.length("unit"))
+    labels = heads.groupBy("label").agg(F.count("*").alias("of_label"), width.alias("width"))
+    labels = labels.select(
+        "label",
+        (F.lit(float(sample)) / F.col("of_label")).alias("share"),
+        F.ceil(F.col("of_label") / cell).alias("k"),
+        F.ceil(F.col("of_label") * F.col("width") / GROUP_BYTES).alias("salts"),
+    )
+    labels = small(scratch.save(labels, "labels"))
+    known = heads.join(labels, "label")
+    drawn = F.expr("pmod(xxhash64(unit, 3), 1048576) / 1048576D") < F.col("share")
+    picked = known.where(drawn).select("label", "k", "unit")
+    first = known.groupBy("label", "k").agg(F.min("unit").alias("unit")).select("label", "k", "unit")
+    kind = StructType([heads.schema["label"], StructField("cell", LongType()), StructField("centroid", BinaryType())])
+    centroids = scratch.save(picked.unionByName(first).groupBy("label").applyInArrow(_fit, kind), "centroids")
+
+    dealt = known.select("label", "key", "unit", F.expr("pmod(xxhash64(key, 4), salts)").alias("salt"))
+    sent = centroids.join(labels.select("label", "salts"), "label")
+    sent = sent.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).drop("salts")
+    kind = StructType([heads.schema["label"], StructField("key", BinaryType()), StructField("cell", LongType()),
+                       StructField("angle", DoubleType()), StructField("home", BooleanType())])
+    both = dealt.groupBy("label", "salt").cogroup(sent.groupBy("label", "salt"))
+    visits = scratch.save(both.applyInArrow(_assign(least), kind), "visits")
+
+    at_home = F.when(F.col("home"), F.col("angle"))
+    cells = visits.groupBy("label", "cell").agg(
+        F.ceil(F.count(at_home) / BLOCK).alias("parts"), F.min(at_home).alias("low"), F.max(at_home).alias("high")
+    )
+    cells = small(scratch.save(cells.where("parts > 0"), "cells"))
+    reach = float(np.arccos(least)) + 1e-9
+    kept = visits.join(cells, ["label", "cell"]).where(f"home or angle between low - {reach!r} and high + {reach!r}")
+    visited = F.collect_list(F.struct(F.col("cell").alias("other_cell"), "parts"))
+    own = F.max(F.when(F.col("home"), F.struct("cell", "parts"))).alias("own")
+    kept = kept.groupBy("key").agg(own, visited.alias("visited"))
+    placed = heads.join(kept, "key").select(
+        *heads.columns, F.col("own.cell").alias("cell"), F.expr("pmod(xxhash64(key, 5), own.parts)").alias("part"),
+        F.explode("visited").alias("visit"),
+    )
+    other = F.explode(F.expr("sequence(0L, visit.parts - 1)")).alias("other_part")
+    return placed.select(*heads.columns, "cell", "part", F.col("visit.other_cell").alias("other_cell"), other)
+
+
+def near_embeddings(
+    vectors: DataFrame, scratch: Scratch, least: float = 0.93, cell: int = CELL, sample: int = SAMPLE
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id long, embedding array of float or
     double, label; more columns are ignored).
 
@@ -143,10 +222,12 @@ def near_embeddings(vectors: DataFrame, scratch: Scratch, least: float = 0.93) -
     ``least``; n_links counts the other vectors linked directly, component_id is the smallest vec_id reachable by
     links, itself included, and kept marks the vectors whose vec_id that is.
 
-    Equal vectors of a label form a class, compared once. Spherical k-means, fitted on the SAMPLE classes with the
-    smallest hashes, deals the others over cells; each vector also visits the cells that may hold a partner, so no link
-    is lost at a border (see ``_assign``). Cells of one label are cut into tiles of BLOCK by BLOCK vectors, each a
-    product of two matrices in one task, which gives counts and a spanning forest instead of pairs.
+    Equal vectors of a label form a class, compared once. Spherical k-means deals a label's vectors over cells; each
+    vector also visits the cells that may hold a partner (see ``cells_of``), so the result is exact. Two blocks that
+    visit each other form a tile, the product of two matrices in one task, which gives counts and a spanning forest
+    instead of pairs; a vector goes to as many tiles as it visits blocks. How many that are depends on the data: where
+    vectors form clusters that are narrower than they are apart, few; where they point in all directions, all of the
+    label, and its pairs are the cost.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and those with a null label link with
     nothing. Rows with a null vec_id link with nothing and are kept, with a null component_id. Rows that repeat a
@@ -159,32 +240,14 @@ def near_embeddings(vectors: DataFrame, scratch: Scratch, least: float = 0.93) -
     classes = whole.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     classes = scratch.save(classes, "classes")
     first = whole.withColumnRenamed("vec_id", "node").join(classes, ["key", "node"]).dropDuplicates(["key"])
-    heads = scratch.save(first.select("label", "node", "weight", "unit"), "heads")
-
-    labels = heads.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    k = int(min(MAX_CELLS, max(1, round(labels[0] / max(1, labels[1]) / CELL))))
-    sample = [bytes(r[0]) for r in heads.orderBy(F.xxhash64("unit")).select("unit").limit(SAMPLE).collect()]
-    if not sample:
-        sample = [np.ones(1).tobytes()]
-    points = _padded(sample, max(len(r) for r in sample) // 8)
-    centroids = spherical_kmeans(points, min(k, len(points)))
-
-    kind = StructType([*heads.schema.fields, StructField("cell", LongType()), StructField("home", BooleanType())])
-    cells = heads.mapInArrow(_assign(centroids, least), kind)
-    cells = scratch.save(cells, "cells")
-    sizes = cells.groupBy("label", "cell").agg(F.count_if("home").alias("at_home"), F.count("*").alias("all"))
-    sizes = sizes.where("at_home > 0").select(
-        "label", "cell", F.ceil(F.col("at_home") / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("columns")
-    )
-    dealt = cells.join(small(scratch.save(sizes, "sizes"), 100_000), ["label", "cell"])
-    own = dealt.where("home").withColumn("i", F.expr("pmod(xxhash64(node), rows)"))
-    own = own.withColumn("j", F.explode(F.expr("sequence(0L, columns - 1)")))
-    others = dealt.withColumn("j", F.expr("pmod(xxhash64(node, 1), columns)")).withColumn("home", F.lit(False))
-    others = others.withColumn("i", F.explode(F.expr("sequence(0L, rows - 1)")))
-    both = own.unionByName(others).select(
-        F.xxhash64("label", "cell", "i", "j").alias("tile"), "home", "node", "weight", "unit"
-    )
-    sorted_tiles = both.repartition("tile").sortWithinPartitions("tile")
+    heads = scratch.save(first.select("label", "key", "node", "weight", "unit"), "heads")
+
+    block, other = F.struct("cell", "part"), F.struct(F.col("other_cell").alias("cell"), F.col("other_part").alias("part"))
+    tiles = cells_of(heads, scratch, least, cell, sample).select(
+        F.xxhash64("label", F.least(block, other), F.greatest(block, other)).alias("tile"),
+        F.when(block == other, 0).when(block < other, 1).otherwise(2).alias("side"), "node", "weight", "unit",
+    )
+    sorted_tiles = tiles.repartition("tile").sortWithinPartitions("tile")
     found = scratch.save(sorted_tiles.mapInArrow(_compare(least), "u long, v long, n long"), "found")
     counts = found.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("v is not null").select("u", "v"), scratch)
