@@ -27,19 +27,45 @@ def unescape_role(role: Column) -> Column:
     )
 
 
-def turns_as_events(turns: DataFrame) -> DataFrame:
-    """Whole turns (conv_id, turn, role, text) as an event log. Rows that share a turn, repeated rows too, are separate
-    messages, in the order of role and text."""
-    tied = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return turns.select(
-        "conv_id",
-        "turn",
-        F.row_number().over(tied).alias("part"),
-        F.lit(0).alias("seq"),
-        F.lit("message").alias("kind"),
-        "role",
-        "text",
-    )
+#: Code points of a streamed delta at least, and deltas of a message at most; a longer text has longer deltas.
+DELTA, DELTAS = 256, 64
+#: The share of messages, one in so many, that are edited or generated again.
+CHANGED = 3
+
+
+def streamed_log(turns: DataFrame) -> DataFrame:
+    """The event log (conv_id, turn, part, seq, kind, role, text) of a chat service that ends in the given turns.
+
+    Assistants' texts arrive as deltas after an empty message; of one in CHANGED, chosen by a hash, a first attempt is
+    broken off and generated again. Other texts arrive whole, one in CHANGED of them as a draft that an edit replaces.
+    seq runs through a conversation. Rows that share a turn, repeated rows too, are separate messages, in the order of
+    role and text.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    body = F.coalesce("text", F.lit(""))
+    size = F.greatest(F.lit(DELTA), F.ceil(F.length(body) / DELTAS).cast("int"))
+    numbered = turns.select("conv_id", "turn", "role", body.alias("text"), place.alias("part"), size.alias("size"))
+    last = F.expr("cast(greatest(ceil(length(text) / size), 1) - 1 AS int)")
+    numbered = numbered.select(
+        "conv_id", "turn", "part", "role", "text",
+        F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", i * F.col("size") + 1, F.col("size"))).alias("pieces"),
+        (F.expr(f"pmod(xxhash64(conv_id, part), {CHANGED})") == 0).alias("changed"),
+    )
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    empty, first = F.lit(""), F.get("pieces", F.lit(0))
+    again = F.array(event("delta", first), event("regenerate", empty))
+    deltas = F.transform("pieces", lambda t: event("delta", t))
+    streamed = F.concat(F.array(event("message", empty)), F.when(F.col("changed"), again).otherwise(F.slice(again, 1, 0)), deltas)
+    edited = F.array(event("message", first), event("edit", F.col("text")))
+    written = F.when(F.col("changed"), edited).otherwise(F.array(event("message", F.col("text"))))
+    events = F.when(F.col("role") == "assistant", streamed).otherwise(written)
+    log = numbered.select("conv_id", "turn", "part", "role", F.posexplode(events).alias("nth", "event"))
+    seq = F.col("part").cast("long") * (DELTAS + 8) + F.col("nth")
+    role = F.when(F.col("nth") == 0, F.col("role"))
+    return log.select("conv_id", "turn", "part", seq.alias("seq"), "event.kind", role.alias("role"), "event.text")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -47,29 +73,31 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     (turn, part) is a message's place in its conversation; seq orders the events of a conversation. ``message`` and
     ``edit`` set a message's text, ``delta`` appends to it, ``regenerate`` sets it anew and withdraws the messages of
-    later turns that were last set before it. A null text is empty, an unknown or null kind counts as ``delta``; the role is
-    the last that is not null, else empty. Events are folded for each message first, so a long conversation's deltas
-    meet in as many tasks as it has messages.
+    later turns that were last set, or if never set began, before it. Logs may be delivered more than once: events of a
+    message with equal seq and text count once; those with equal seq alone follow in the order of their texts. A null
+    seq comes before all others. A null text is empty, an unknown or null kind counts as ``delta``; the role is the last
+    that is not null, else empty.
     """
     message = ["conv_id", "turn", "part"]
-    sets = F.col("kind").isin("message", "edit", "regenerate")
-    last_set = F.max(F.when(F.coalesce(sets, F.lit(False)), F.col("seq"))).over(Window.partitionBy(*message))
-    live = events.withColumn("last_set", last_set)
-    pieces = F.collect_list(
-        F.when(
-            F.col("last_set").isNull() | (F.col("seq") >= F.col("last_set")),
-            F.struct("seq", F.coalesce("text", F.lit("")).alias("text")),
-        )
-    )
-    folded = live.groupBy(*message).agg(
-        F.array_join(F.transform(F.array_sort(pieces), lambda x: x["text"]), "").alias("text"),
-        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))), F.lit("")).alias("role"),
-        F.coalesce(F.max("last_set"), F.min("seq")).alias("began"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63)))
+    sets = F.coalesce(F.col("kind").isin("message", "edit", "regenerate"), F.lit(False))
+    folded = events.groupBy(*message).agg(
+        F.collect_set(F.struct(seq.alias("seq"), F.coalesce("text", F.lit("")).alias("text"))).alias("pieces"),
+        F.max(F.when(sets, seq)).alias("set"),
+        F.min(seq).alias("first"),
+        F.max(F.when(F.col("role").isNotNull(), F.struct(seq.alias("seq"), "role")))["role"].alias("role"),
+        F.max(F.when(F.col("kind") == "regenerate", seq)).alias("again"),
     )
+    since = F.coalesce("set", "first")
+    live = F.filter(F.array_sort("pieces"), lambda x: x["seq"] >= since)
     before = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    kept = folded.withColumn("withdrawn", F.coalesce(F.max("again").over(before) > F.col("began"), F.lit(False)))
-    return kept.where("not withdrawn").select(*message, "role", "text")
+    kept = folded.select(
+        *message,
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"),
+        F.coalesce(F.max("again").over(before) > since, F.lit(False)).alias("withdrawn"),
+    )
+    return kept.where("not withdrawn").drop("withdrawn")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -120,9 +148,10 @@ def parse(rendered: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss) of plain turns (conv_id, turn, role, text; more columns are ignored).
+    """(conv_id, formatted, loss) of plain turns (conv_id, turn, role, text; more columns are ignored): their log is
+    folded into messages, which are rendered.
 
     Null texts and roles are empty; a null turn comes first; rows with a null conv_id are one conversation. An empty
     table gives an empty result.
     """
-    return render(fold_events(turns_as_events(turns.select("conv_id", "turn", "role", "text"))))
+    return render(fold_events(streamed_log(turns.select("conv_id", "turn", "role", "text"))))

@@ -34,8 +34,10 @@ CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns reach the operator as the log of a chat service (see ``chat.streamed_log``)."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     read = chat.parse(chat.format_conversations(turns.unionByName(extra)))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     learned = F.array_join("learned", "")
@@ -54,17 +56,42 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, Scratch(spark, "op4"), width=3, percent=85, bands=25, rows=5)
 
 
-#: The vocabulary that op5 counts with; any .tiktoken file in a store that Spark reads will do.
-VOCABULARY = "file:///opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The vocabularies that op5 counts with, by tokenizer version; any .tiktoken file in a store that Spark reads will do.
+VOCABULARIES = {
+    "byte_bpe_multi_50k": "file:///opt/tokenizers/byte_bpe_multi_50k.tiktoken",
+    "byte_bpe_50k": "file:///opt/tokenizers/byte_bpe_50k.tiktoken",
+}
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus comes in as one batch of inserts, and once more under the same name, which changes nothing."""
+    """The corpus under two tokenizer versions, as a history of batches that nets out to it.
+
+    Documents are inserted, an eighth of them as drafts with an estimated count and no language yet; the drafts are
+    revised; another eighth is deleted and inserted again; and the second version's counts come in one batch. Each batch
+    is sent twice, which changes nothing.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    counted = tokens.count_tokens(docs, tokens.load_ranks(spark, VOCABULARY)).drop("text")
-    rollup = tokens.Rollup(spark, f"{Scratch(spark, 'op5').root}/rollup")
+    scratch = Scratch(spark, "op5")
+    first, second = VOCABULARIES
+    counted = docs
+    for name, path in VOCABULARIES.items():
+        counted = tokens.count_tokens(counted, tokens.load_ranks(spark, path), name)
+    chars = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")
+    eighth = F.when(F.col("doc_id").isNotNull(), F.expr("pmod(xxhash64(doc_id), 8)")).alias("eighth")
+    counted = scratch.save(counted.select("doc_id", "source", "lang", chars, eighth, *VOCABULARIES), "counted")
+
+    exact = counted.withColumnRenamed(first, "n_tokens")
+    draft = F.coalesce(F.col("eighth") == 0, F.lit(False))
+    arrived = exact.withColumn("n_tokens", F.when(draft, F.expr("chars div 4")).otherwise(F.col("n_tokens")))
+    arrived = arrived.withColumn("lang", F.when(~draft, F.col("lang")))
+    gone = exact.where("eighth = 1")
+    rollup = tokens.Rollup(spark, f"{scratch.root}/rollup")
     for _ in range(2):
-        rollup.commit("documents", counted, "byte_bpe_multi_50k")
+        rollup.commit("arrived", arrived, first)
+        rollup.commit("revised", exact.where("eighth = 0"), first)
+        rollup.commit("withdrawn", gone.limit(0), first, deletes=gone)
+        rollup.commit("restored", gone, first)
+        rollup.commit("recounted", counted.withColumnRenamed(second, "n_tokens"), second)
     return rollup.totals()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import tiktoken
@@ -72,11 +73,16 @@ class Rollup:
     def batches(self) -> list[str]:
         if not self.fs.exists(self.path(self.root)):
             return []
+        if self.fs.exists(self.path(f"{self.root}/_compacted/_SUCCESS")):
+            self._drop_compacted()
         names = (s.getPath().getName() for s in self.fs.listStatus(self.path(self.root)))
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+        return sorted(unquote(n.removeprefix("batch_")) for n in names if n.startswith("batch_"))
+
+    def _folder(self, batch: str) -> str:
+        return f"{self.root}/batch_{quote(batch, safe='')}"
 
     def _read(self, table: str, kind: str) -> DataFrame:
-        found = [f"{self.root}/batch={b}/{table}" for b in self.batches()]
+        found = [f"{self._folder(b)}/{table}" for b in self.batches()]
         if not found:
             return self.spark.createDataFrame([], kind)
         return self.spark.read.schema(kind).parquet(*found)
@@ -92,8 +98,9 @@ class Rollup:
 
         What the ledger holds of a changed or deleted document under this tokenizer version is taken back, so a
         document that comes again is revised, not counted twice. Without earlier batches nothing is looked up. Rows that
-        repeat within a batch count each; a null doc_id is counted, but can't be revised. Returns whether the batch is
-        new. One writer at a time commits.
+        repeat within a batch count each; a null doc_id is counted, but can't be revised; an empty batch is committed
+        too. Returns whether the batch is new. One writer at a time commits; a batch that can't be put in its place is
+        an error.
         """
         if batch in self.batches():
             return False
@@ -104,9 +111,9 @@ class Rollup:
             changed = counted.select(F.col("doc_id").cast("long").alias("doc_id"))
             if deletes is not None:
                 changed = changed.unionByName(deletes.select(F.col("doc_id").cast("long").alias("doc_id")))
-            old = self.ledger_rows().where(F.col("tokenizer") == tokenizer).join(changed.distinct(), "doc_id", "left_semi")
+            old = self.ledger_rows(tokenizer, changed.distinct())
             new = new.unionByName(old.select(*new.columns[:-1], F.expr("-sign").alias("sign")))
-        temporary = f"{self.root}/_writing-{batch}"
+        temporary = f"{self.root}/_writing-{quote(batch, safe='')}"
         self.fs.delete(self.path(temporary), True)
         new.write.parquet(f"{temporary}/ledger")
         written = self.spark.read.parquet(f"{temporary}/ledger")
@@ -114,9 +121,46 @@ class Rollup:
             F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")
         )
         sums.write.parquet(f"{temporary}/totals")
-        return bool(self.fs.rename(self.path(temporary), self.path(f"{self.root}/batch={batch}")))
-
-    def ledger_rows(self) -> DataFrame:
-        """The ledger's rows that still count: signed rows summed by document and value."""
-        rows = self._read("ledger", LEDGER).groupBy("doc_id", "source", "lang", "tokenizer", "n_tokens")
+        if not self.fs.rename(self.path(temporary), self.path(self._folder(batch))):
+            raise OSError(f"batch {batch!r} could not be committed")
+        return True
+
+    def ledger_rows(self, tokenizer: str | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """The ledger's rows that still count, of one tokenizer version and the given ``ids`` (doc_id) where they are
+        named: signed rows summed by document and value."""
+        rows = self._read("ledger", LEDGER)
+        if tokenizer is not None:
+            rows = rows.where(F.col("tokenizer") == tokenizer)
+        if ids is not None:
+            rows = rows.join(ids, "doc_id", "left_semi")
+        rows = rows.groupBy("doc_id", "source", "lang", "tokenizer", "n_tokens")
         return rows.agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
+
+    def compact(self, batch: str) -> bool:
+        """Replace all batches by one of the name ``batch`` with the same totals and the ledger rows that still count,
+        so that a long history stays cheap to read. Batches that it replaces can't be recognised when they come again;
+        compact what is past its time of redelivery. A job that dies leaves the history as it was, or a note of what
+        is left to do, ``_compacted``, which the next call of any method carries out."""
+        old = self.batches()
+        self.fs.delete(self.path(f"{self.root}/_compacted"), True)
+        if not old or batch in old:
+            return False
+        temporary = f"{self.root}/_writing-{quote(batch, safe='')}"
+        self.fs.delete(self.path(temporary), True)
+        self.ledger_rows().write.parquet(f"{temporary}/ledger")
+        self.totals().write.parquet(f"{temporary}/totals")
+        lines = self.spark.createDataFrame([(b,) for b in [batch, *old]], "value string").coalesce(1)
+        lines.write.parquet(f"{self.root}/_compacted")
+        self._drop_compacted()
+        return True
+
+    def _drop_compacted(self) -> None:
+        """Finish a compaction: put the new batch in its place and delete the old ones."""
+        note = f"{self.root}/_compacted"
+        names = [r["value"] for r in self.spark.read.parquet(note).collect()]
+        temporary = self.path(f"{self.root}/_writing-{quote(names[0], safe='')}")
+        for b in names[1:]:
+            self.fs.delete(self.path(self._folder(b)), True)
+        if self.fs.exists(temporary) and not self.fs.rename(temporary, self.path(self._folder(names[0]))):
+            raise OSError(f"batch {names[0]!r} could not be committed")
+        self.fs.delete(self.path(note), True)

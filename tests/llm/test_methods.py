@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import components, embeddings
+from siltstone.llm import chat, components, embeddings, tokens
 from siltstone.llm.common import Scratch
 
 
@@ -74,3 +77,81 @@ def test_components_with_and_without_hubs(spark, scratch, monkeypatch, limits):
     got = components.connected_components(spark.createDataFrame(links, "u long, v long"), scratch).collect()
     assert {r.node: r.component for r in got} == brute_components({x for p in links for x in p}, links)
     assert len(got) == len({r.node for r in got})
+
+
+def fold_by_hand(events):
+    """Final messages of one conversation's events, one event after the other."""
+    low = -(2**63)
+    of = defaultdict(set)
+    for turn, part, seq, kind, role, text in events:
+        of[turn, part].add((low if seq is None else seq, kind, role, text or ""))
+    out, states = {}, {}
+    for place, log in of.items():
+        sets = [e[0] for e in log if e[1] in ("message", "edit", "regenerate")]
+        since = max(sets) if sets else min(e[0] for e in log)
+        text = "".join(t for _, t in sorted({(e[0], e[3]) for e in log if e[0] >= since}))
+        roles = sorted((e[0], e[2]) for e in log if e[2] is not None)
+        again = [e[0] for e in log if e[1] == "regenerate"]
+        states[place] = since, max(again) if again else None
+        out[place] = (roles[-1][1] if roles else "", text)
+    for (turn, part), (since, _) in states.items():
+        if any(t < turn and a is not None and a > since for (t, _), (_, a) in states.items()):
+            del out[turn, part]
+    return out
+
+
+def test_folding_random_logs(spark):
+    """Events out of order, delivered twice, with tied and null numbers, of several conversations at once."""
+    rng, rows = random.Random(4), []
+    for conv in range(25):
+        own = []
+        for _ in range(rng.randrange(1, 25)):
+            kind = rng.choice(["message", "delta", "delta", "edit", "regenerate", None, "odd"])
+            seq = None if rng.random() < 0.1 else rng.randrange(12)
+            own.append((rng.randrange(4), rng.randrange(2), seq, kind, rng.choice([None, "user", "assistant"]), rng.choice([None, "a", "b ", "<|"])))
+        own += rng.sample(own, len(own) // 3)
+        rng.shuffle(own)
+        rows += [(conv, *e) for e in own]
+    events = spark.createDataFrame(rows, "conv_id long, turn long, part int, seq int, kind string, role string, text string")
+    got = {(r.conv_id, r.turn, r.part): (r.role, r.text) for r in chat.fold_events(events).collect()}
+    want = {(c, *k): v for c in range(25) for k, v in fold_by_hand([r[1:] for r in rows if r[0] == c]).items()}
+    assert got == want
+
+
+def test_streamed_logs_end_in_the_turns(spark):
+    """Deltas, edits and regenerations occur, and nothing of a null, tied, repeated, long or odd turn is lost."""
+    long = "".join(chr(0x4E00 + i % 500) for i in range(40_000))
+    rows = [(1, None, "user", "first"), (1, 0, "assistant", long), (1, 0, "assistant", "tie"), (1, 0, "assistant", "tie"), (1, 1, None, None), (1, 2, "assistant", ""), (None, 1, "user", "<|im_end|>")]
+    rows += [(100 + i, t, ("user", "assistant")[t], f"text {i} " * 50) for i in range(30) for t in (0, 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("Part", F.lit("x")).withColumn("seq", F.lit(1))
+    log = chat.streamed_log(turns.select("conv_id", "turn", "role", "text")).cache()
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert min(kinds[k] for k in ("delta", "edit", "message", "regenerate")) > 3
+    assert log.where("conv_id = 1 and kind = 'delta'").count() > chat.DELTAS
+    read = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.parse(chat.format_conversations(turns)).collect()}
+    by = lambda c: sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+    assert read == {c: [(r[2] or "", r[3] or "") for r in by(c)] for c in {r[0] for r in rows}}
+
+
+def test_rollup_history_equals_a_loop(spark, scratch):
+    """Random inserts, revisions and deletes, batches that come again, names with any characters, and a compaction."""
+    rng, rollup, now = random.Random(6), tokens.Rollup(spark, f"{scratch.root}/h"), {}
+    kind = "doc_id long, source string, lang string, n_tokens long, tokenizer string"
+    for step, name in enumerate(["a/b", "..", "c d", "é=1", "e"]):
+        version = "v1" if step != 3 else "v2"
+        rows = [(i, rng.choice("xy"), rng.choice(["en", None]), rng.randrange(9), "clash") for i in rng.sample(range(12), rng.randrange(6))]
+        gone = [] if step == 0 else rng.sample(range(12), 3)
+        gone = [i for i in gone if i not in {r[0] for r in rows}]
+        deletes = spark.createDataFrame([(i,) for i in gone], "doc_id long")
+        for again in (False, True):
+            assert rollup.commit(name, spark.createDataFrame(rows, kind), version, deletes) is not again
+        for i in gone:
+            now.pop((i, version), None)
+        now |= {(r[0], version): r[1:4] for r in rows}
+        if step == 2:
+            assert rollup.compact("all so far") and rollup.batches() == ["all so far"]
+        want = defaultdict(lambda: (0, 0))
+        for (_, v), (source, lang, n) in now.items():
+            want[source, lang, v] = (want[source, lang, v][0] + 1, want[source, lang, v][1] + n)
+        got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+        assert got == want
