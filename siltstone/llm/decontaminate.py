@@ -66,7 +66,7 @@ def contaminated(
 
     Every shingle of every document is looked up among the items' sketches (see ``item_sketches``). The pairs found
     are written; the texts of their documents alone are read again and compared shingle by shingle. Sketches, pairs
-    and items are broadcast if they are few and else joined by a shuffle.
+    and items are broadcast if they are few, items also by their bytes, and else joined by a shuffle.
 
     Rows with a null id or no words contain nothing and are contained in nothing. Rows that repeat an id count as
     separate texts, and equal pairs come once, with the largest n_shared. Empty tables give an empty result.
@@ -82,7 +82,8 @@ def contaminated(
     item_sets = scratch.save(item_sets, "items").where("size(item_shingles) > 0")
     suspects = texts.join(small(pairs), "doc_id").select("doc_id", "item_id", _words(F.col("text")).alias("words"))
     suspects = suspects.select("doc_id", "item_id", _shingles(width).alias("shingles"))
-    both = suspects.join(small(item_sets, 100_000), "item_id")
+    bytes_of = F.aggregate("item_shingles", F.lit(0), lambda n, x: n + F.length(x) + 16)
+    both = suspects.join(small(item_sets, size=bytes_of), "item_id")
     shared = F.size(F.array_intersect("item_shingles", "shingles")).cast("long")
     compared = both.select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_item"), shared.alias("n_shared"))
     found = compared.where(f"100 * n_shared >= {percent} * n_item")

@@ -15,7 +15,7 @@ from siltstone.llm.common import Scratch, drop_rows, forest, grouped, inner_name
 from siltstone.llm.components import connected_components
 from siltstone.llm.shingles import MinHash, shingle_sets, sizes_of_intersections
 
-#: Members of a tile: a larger bucket or family is dealt over blocks of about so many, and each pair of blocks is a tile.
+#: Members of a block: a larger bucket or family is dealt over blocks of about so many (see ``_linked``).
 BUCKET_BLOCK, FAMILY_BLOCK = 256, 128
 #: Standard errors of a signature's estimate by which a pair may fall short and still be verified on its whole sets.
 SLACK = 5.0
@@ -72,17 +72,19 @@ def _plausible(least: float) -> Callable:
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for t in grouped(batches, "tile"):
-            nodes, at = np.unique(t.column("node").to_numpy(), return_index=True)
-            if len(nodes) < 2:
+            node = t.column("node").to_numpy()
+            if len(node) < 2:
                 continue
-            raw = t.column("signature").take(pa.array(at)).to_pylist()
-            signs = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(len(nodes), -1)
+            order = np.argsort(node, kind="stable")
+            node, raw = node[order], t.column("signature").take(pa.array(order)).to_pylist()
+            signs = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(len(node), -1)
             a, b = [], []
-            for i in range(len(nodes) - 1):
-                near = np.flatnonzero((signs[i + 1 :] == signs[i]).mean(axis=1) >= least) + i + 1
+            for i in range(len(node) - 1):
+                near = (signs[i + 1 :] == signs[i]).mean(axis=1) >= least
+                near = np.flatnonzero(near | (node[i + 1 :] == node[i])) + i + 1
                 a.append(np.full(len(near), i))
                 b.append(near)
-            yield nodes, forest(len(nodes), np.concatenate(a), np.concatenate(b))
+            yield node, forest(len(node), np.concatenate(a), np.concatenate(b))
 
     return lambda batches: _links(tiles(batches))
 
@@ -133,18 +135,43 @@ def _sets(width: int) -> Callable:
     return run
 
 
-def _tiles(members: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
-    """``members`` (group, node) once for each tile that they are in: a pair of blocks of one group, as a number.
+def _linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], block: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) that connect what the pairs within groups connect, for ``members`` (group, node), a written table.
 
-    ``sizes`` (group, size) holds the groups to deal. A group is cut into blocks by a hash of the node, so no task
-    gets more than two blocks of a group; a row goes to as many tiles as its group has blocks.
+    ``compare`` makes links of (tile, node). First every group is cut into blocks of about ``block`` members by a hash
+    of the node, and each row meets its block alone. For a group of one block that is all. In larger ones what is still
+    apart is compared across blocks: the members in the largest component so far meet those outside it, which also meet
+    one another. So a group of near copies costs rows in proportion to its size, and only members that are unlike each
+    other cost more: one tile for each pair of blocks of such.
     """
-    cut = members.join(sizes.select(group, F.ceil(F.col("size") / block).alias("blocks")), group)
-    cut = cut.withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-    tile = F.expr(f"xxhash64({group}, least(block, other), greatest(block, other))")
-    return cut.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        tile.alias("tile"), *members.columns
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("size"))
+    sizes = scratch.save(sizes.where("size > 1"), "groups")
+    dealt = members.join(sizes, "group")
+    near = F.expr("xxhash64(group, pmod(xxhash64(node), blocks))")
+    links = scratch.save(compare(dealt.select(near.alias("tile"), "node")), "links")
+    large = sizes.where("blocks > 1").select("group")
+    if large.isEmpty():
+        return links
+
+    components = connected_components(links, scratch)
+    named = members.join(large, "group").join(components, "node", "left")
+    named = scratch.save(named.select("group", "node", F.coalesce("component", "node").alias("component")), "apart")
+    parts = named.groupBy("group", "component").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("group").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"),
+        F.ceil(F.max("n") / block).alias("mains"),
+        F.ceil((F.sum("n") - F.max("n")) / block).alias("others"),
     )
+    rows = named.join(parts.where("others > 0"), "group")
+    inside, outside = rows.where("component = main"), rows.where("component <> main")
+    inside = inside.withColumn("i", F.expr("pmod(xxhash64(node), mains)")).withColumn("j", F.explode(F.expr("sequence(0L, others - 1)")))
+    outside = outside.withColumn("own", F.expr("pmod(xxhash64(node), others)"))
+    across = outside.withColumn("i", F.explode(F.expr("sequence(0L, mains - 1)"))).withColumn("j", F.col("own"))
+    among = outside.withColumn("other", F.explode(F.expr("sequence(0L, others - 1)")))
+    among = among.select("node", F.expr("xxhash64(group, 'among', least(own, other), greatest(own, other))").alias("tile"))
+    tiles = F.expr("xxhash64(group, 'across', i, j)").alias("tile")
+    again = inside.select("node", tiles).unionByName(across.select("node", tiles)).unionByName(among)
+    return links.unionByName(scratch.save(compare(again), "links"))
 
 
 def near_duplicates(
@@ -157,10 +184,10 @@ def near_duplicates(
 
     1. Every whole text gets ``bands`` * ``rows`` hash minima. Documents with equal sets form a class; its smallest
        doc_id stands for it from here on, so thousands of copies cost no more than one.
-    2. A band's minima name a bucket. Within buckets, cut into tiles, pairs whose signatures agree to within SLACK
-       standard errors of the threshold are found, and each tile gives a spanning forest of them, never all pairs.
-    3. The components of these links are families. Their texts alone are read again; every pair within a family is
-       confirmed on its whole sets, tile by tile, and the components of the confirmed links are the result.
+    2. A band's minima name a bucket. Within buckets pairs whose signatures agree to within SLACK standard errors of the
+       threshold are found, and each tile gives a spanning forest of them, never all pairs (see ``_linked``).
+    3. The components of these links are families. Their texts alone are read again, and pairs within a family are
+       confirmed on their whole sets in the same way; the components of the confirmed links are the result.
 
     A pair at the threshold is missed with a probability below 1e-5: it shares no band (see MinHash), or its signature
     falls SLACK standard errors short.
@@ -178,20 +205,26 @@ def near_duplicates(
     keys = ["set_key", "doc_id"]
     heads = whole.join(classes.withColumnRenamed("node", "doc_id"), keys).withColumnRenamed("doc_id", "node")
     heads = scratch.save(heads.select("node", "bands", "signature"), "heads")
-    entries = heads.select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = _tiles(entries, "bucket", shared, BUCKET_BLOCK).join(heads.select("node", "signature"), "node")
+    entries = scratch.save(heads.select("node", F.explode("bands").alias("group")), "entries")
     least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
-    dealt = members.select("tile", "node", "signature").repartition("tile").sortWithinPartitions("tile")
-    plausible = dealt.mapInArrow(_plausible(least), "u long, v long")
-    families = scratch.save(connected_components(plausible, scratch), "families")
-
-    sizes = families.groupBy("component").agg(F.count("*").alias("size"))
-    suspects = source.join(small(families), F.col("doc_id") == F.col("node")).select("node", "component", "text")
-    sets = suspects.mapInArrow(_sets(width), "node long, component long, hashes binary")
-    tiles = _tiles(sets, "component", sizes, FAMILY_BLOCK).select("tile", "node", "hashes")
-    confirmed = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_confirmed(percent), "u long, v long")
-    found = connected_components(confirmed, scratch)
+
+    def by_signature(tiles: DataFrame) -> DataFrame:
+        signed = tiles.join(heads.select("node", "signature"), "node").select("tile", "node", "signature")
+        return signed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_plausible(least), "u long, v long")
+
+    def by_sets(tiles: DataFrame) -> DataFrame:
+        told = tiles.join(source, F.col("doc_id") == F.col("node")).select("tile", "node", "text")
+        sets = told.mapInArrow(_sets(width), "tile long, node long, hashes binary")
+        return sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(_confirmed(percent), "u long, v long")
+
+    families = connected_components(_linked(entries, by_signature, BUCKET_BLOCK, scratch), scratch)
+    families = scratch.save(families.select(F.col("component").alias("group"), "node"), "families")
+    confirmed = _linked(families, by_sets, FAMILY_BLOCK, scratch)
+    named = whole.select("doc_id", "set_key").distinct()
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    same = named.join(small(scratch.save(repeated, "repeated")), "doc_id").join(classes, "set_key")
+    same = same.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    found = connected_components(confirmed.unionByName(same), scratch)
 
     named = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     named = scratch.save(named, "named")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import inner_name, small
+from siltstone.llm.common import Scratch, inner_name, small
 
 #: Larger mean rates are sums of independent Poisson counts with means of at most this.
 PART = 16.0
@@ -70,7 +70,7 @@ def mix_sources(
     """
     docs = docs.drop("mix_copy", "mix_place")
     parts, mean, cdf, count, of = (inner_name(docs, x) for x in ("parts", "mean", "cdf", "count", "of"))
-    table = rates(docs, weights, power)
+    table = Scratch(docs.sparkSession, "mix").save(rates(docs, weights, power), "rates")
     table = table.withColumn(parts, F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
     table = table.withColumn(mean, F.col("rate") / F.col(parts))
     table = table.select(F.col("source").alias(of), parts, poisson_cdf(F.col(mean)).alias(cdf))
@@ -80,7 +80,7 @@ def mix_sources(
         u = uniform(seed, "count", name, part.cast("string"))
         return F.size(F.filter(F.col(cdf), lambda f: f <= u))
 
-    joined = docs.join(small(table, 10_000), F.col("source").eqNullSafe(F.col(of)))
+    joined = docs.join(small(table, 10_000, F.lit(8 * TERMS + 64)), F.col("source").eqNullSafe(F.col(of)))
     total = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, part: a + drawn(part))
     copies = joined.withColumn(count, total).where(F.col(count) > 0)
     copies = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(count))))

@@ -49,10 +49,10 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return name, verdict
 
 
-def _hash(keys: list[str]) -> np.ndarray:
-    """A 64-bit hash of each whole key, white space included."""
+def _hash(keys: list[str], seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each whole key, white space included; the seed is put before the key."""
     raw = [k.encode("utf-8", "surrogatepass").translate(HIDE) for k in keys]
-    words, edge = word_hashes([r or b"\xff" for r in raw])
+    words, edge = word_hashes([b"\xff" * (seed + 1) + r for r in raw])
     return words[edge[:-1]]
 
 
@@ -103,31 +103,35 @@ def build_cascade(listed: np.ndarray, other: np.ndarray) -> list[tuple[int, int,
 
 
 def _build(keys: pd.DataFrame) -> pd.DataFrame:
-    hashes = _hash(keys["key"].tolist())
-    if len(np.unique(hashes)) != len(hashes):
-        raise ValueError("two keys of the universe share a 64-bit hash")
+    seed, hashes = 0, _hash(keys["key"].tolist())
+    while len(np.unique(hashes)) != len(hashes):
+        seed, hashes = seed + 1, _hash(keys["key"].tolist(), seed + 1)
     is_listed = keys["listed"].to_numpy(dtype=bool)
     filters = build_cascade(hashes[is_listed], hashes[~is_listed])
-    rows = [(int(keys["shard"].iloc[0]), i, size, k, bits.tobytes()) for i, (size, k, bits) in enumerate(filters)]
-    return pd.DataFrame(rows, columns=["shard", "level", "size", "hashes", "bits"])
+    shard = int(keys["shard"].iloc[0])
+    rows = [(shard, i, size, k, seed, bits.tobytes()) for i, (size, k, bits) in enumerate(filters)]
+    return pd.DataFrame(rows, columns=["shard", "level", "size", "hashes", "seed", "bits"])
 
 
 def cascades(universe: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(shard, level, size, hashes, bits) of cascades over ``universe`` (key string, listed boolean), and their number.
+    """(shard, level, size, hashes, seed, bits) of cascades over ``universe`` (key string, listed boolean), and their number.
 
     Keys are distinct and not null. They are dealt over shards by a hash, about SHARD_KEYS to each, so every shard is
-    built in one bounded task, whatever the number of keys.
+    built in one bounded task, whatever the number of keys. A shard two of whose keys share a hash is hashed again with
+    the next seed.
     """
     shards = max(1, -(-universe.count() // SHARD_KEYS))
     dealt = universe.withColumn("shard", F.expr(f"pmod(xxhash64(key), {shards})"))
-    kind = "shard long, level int, size long, hashes int, bits binary"
+    kind = "shard long, level int, size long, hashes int, seed int, bits binary"
     return scratch.save(dealt.groupBy("shard").applyInPandas(_build, kind), "cascades"), shards
 
 
-def _by_shard(table: pd.DataFrame) -> dict[int, list[tuple[int, int, np.ndarray]]]:
-    out: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+def _by_shard(table: pd.DataFrame) -> dict[int, tuple[int, list[tuple[int, int, np.ndarray]]]]:
+    """The seed and the filters of each shard."""
+    out: dict[int, tuple[int, list[tuple[int, int, np.ndarray]]]] = {}
     for r in table.sort_values(["shard", "level"]).itertuples():
-        out.setdefault(int(r.shard), []).append((int(r.size), int(r.hashes), np.frombuffer(r.bits, dtype=np.uint8)))
+        levels = out.setdefault(int(r.shard), (int(r.seed), []))[1]
+        levels.append((int(r.size), int(r.hashes), np.frombuffer(r.bits, dtype=np.uint8)))
     return out
 
 
@@ -148,10 +152,10 @@ def listed_by_cascade(rows: DataFrame, key: str, filters: DataFrame, shards: int
             uniques, codes = np.unique(keys.fillna("").to_numpy(dtype=object).astype(str), return_inverse=True)
             first = pd.Series(shard_of.to_numpy()).groupby(codes).first().to_numpy()
             answer = np.zeros(len(uniques), dtype=bool)
-            hashes = _hash(uniques.tolist())
             for s in np.unique(first):
                 if s in shared.value:
-                    answer[first == s] = _inside(shared.value[s], hashes[first == s])
+                    seed, levels = shared.value[s]
+                    answer[first == s] = _inside(levels, _hash(uniques[first == s].tolist(), seed))
             got[:] = answer[codes] & keys.notna().to_numpy()
             return got
 
@@ -159,8 +163,8 @@ def listed_by_cascade(rows: DataFrame, key: str, filters: DataFrame, shards: int
     name = inner_name(rows, "key")
 
     def judge(keys: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        levels = next(iter(_by_shard(parts).values()), [])
-        return pd.DataFrame({name: keys[name], out: _inside(levels, _hash(keys[name].tolist()))})
+        seed, levels = next(iter(_by_shard(parts).values()), (0, []))
+        return pd.DataFrame({name: keys[name], out: _inside(levels, _hash(keys[name].tolist(), seed))})
 
     keys = rows.select(F.col(key).alias(name)).where(F.col(name).isNotNull()).distinct()
     keys = keys.withColumn("shard", F.expr(f"pmod(xxhash64(`{name}`), {shards})"))
@@ -179,7 +183,8 @@ def judge_pages(
     """``pages`` with host, path, rule, verdict and listed, in place of columns of those names.
 
     The verdict is that of the longest rule that fits (see ``rule_for``), else block if ``listed_hosts`` (host) has
-    the page's host, else allow. Membership is exact: the cascades' universe is every host of ``pages``.
+    the page's host, else allow. Membership is exact: the cascades' universe is every host of ``pages`` and of the list,
+    collected by one grouping.
 
     A null url, or one without ``://``, has an empty host and path. Repeated rows are judged alike; nulls and
     repetitions in ``listed_hosts`` are passed over. An empty table gives an empty result.
@@ -187,10 +192,10 @@ def judge_pages(
     host, path = host_and_path(F.col("url"))
     rest = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "listed")]
     parsed = pages.select(*rest, host.alias("host"), path.alias("path"))
-    hosts = pages.select(host.alias("key")).distinct()
-    named = listed_hosts.select(F.col("host").alias("key")).where("host is not null").distinct()
-    universe = hosts.join(named.withColumn("listed", F.lit(True)), "key", "left")
-    universe = scratch.save(universe.select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
+    hosts = pages.select(host.alias("key"), F.lit(False).alias("listed"))
+    named = listed_hosts.select(F.col("host").alias("key"), F.lit(True).alias("listed")).where("key is not null")
+    universe = hosts.unionByName(named).groupBy("key").agg(F.max("listed").alias("listed"))
+    universe = scratch.save(universe, "universe")
     filters, shards = cascades(universe, scratch)
     judged = listed_by_cascade(parsed, "host", filters, shards, "listed")
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)

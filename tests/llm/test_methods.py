@@ -6,10 +6,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, components, embeddings, tokens
+from siltstone.llm import chat, components, embeddings, minhash, tokens, urls
 from siltstone.llm.common import Scratch
 
 
@@ -155,3 +156,50 @@ def test_rollup_history_equals_a_loop(spark, scratch):
             want[source, lang, v] = (want[source, lang, v][0] + 1, want[source, lang, v][1] + n)
         got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
         assert got == want
+
+
+def test_a_group_of_near_copies_costs_rows_in_proportion(spark, scratch, monkeypatch):
+    """A family of distinct near copies with strangers in its buckets: every link is found, each member is compared in
+    few tiles, and twice the members make about twice the rows."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 32)
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 16)
+    rows = []
+
+    def counted(compare):
+        def run(tiles):
+            rows[-1] += tiles.count()
+            return compare(tiles)
+
+        return run
+
+    linked = minhash._linked
+    monkeypatch.setattr(minhash, "_linked", lambda m, compare, block, s: linked(m, counted(compare), block, s))
+    base = [f"w{i}" for i in range(120)]
+    for n in (150, 300):
+        rows.append(0)
+        texts = [" ".join([*base[: i % 100], f"new{i}", *base[i % 100 :]]) for i in range(n)]
+        texts += [" ".join(f"x{i}y{j}" for j in range(30)) for i in range(20)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, scratch).collect()}
+        assert got == {i: 0 if i < n else i for i in range(n + 20)}
+    assert rows[1] < 3 * rows[0]
+
+
+def test_texts_of_a_repeated_id_join_their_groups(spark, scratch):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*b, "end"])), (9, " ".join(reversed(b)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, scratch).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (9, 9)}
+    assert sorted(r.doc_id for r in minhash.deduplicate(docs, scratch).collect()) == [3, 9]
+
+
+def test_cascades_rehash_and_stay_exact(monkeypatch):
+    """Two keys that share a hash get another seed; every key of the universe is told right at every level."""
+    keys = [f"k{i}" for i in range(400)]
+    plain = urls._hash
+    monkeypatch.setattr(urls, "_hash", lambda ks, seed=0: plain(ks, seed) if seed else plain(["same" if k in ("k1", "k2") else k for k in ks], 0))
+    built = urls._build(pd.DataFrame({"key": keys, "listed": [i % 3 == 0 for i in range(400)], "shard": 4}))
+    (seed, levels), = urls._by_shard(built).values()
+    assert seed == 1 and len(levels) > 1
+    assert urls._inside(levels, urls._hash(keys, seed)).tolist() == [i % 3 == 0 for i in range(400)]
