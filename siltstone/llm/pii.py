@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: First names that are no common words of the corpus's languages: fixed values.
+#: First names, the gazetteer of names, which votes and gates nothing: fixed values.
 FIRST_NAMES = frozenset(
     "Alexander Alice Andreas Anna Antonio Barbara Benjamin Carlos Caroline Catherine Charles Charlotte Christine "
     "Claudia Daniel David Diego Elena Elizabeth Emily Emma Fernando Francisco Friedrich George Hannah Heinrich Helena "
@@ -34,19 +35,27 @@ FIRST_NAMES = frozenset(
     "Patricia Paul Peter Philippe Pierre Rachel Richard Robert Sabine Samuel Sarah Sofia Sophie Stefan Stephanie "
     "Susan Theresa Thomas Ursula Victoria Werner William Wolfgang".split()
 )
-#: Words beside which names stand, and words beside which credentials stand: fixed values.
+#: Words beside which names, credentials, accounts and handles stand: fixed values.
 NAME_CUES = frozenset("mr mrs ms dr prof herr frau señor señora monsieur madame mein name heiße nombre llamo appelle".split())
 SECRET_CUES = frozenset("token key apikey api_key secret password passwd pwd bearer authorization credential".split())
 ACCOUNT_CUES = frozenset("iban account konto cuenta compte ssn passport".split())
+HANDLE_CUES = frozenset("follow twitter instagram mastodon github user contact ping cc via by von por par".split())
+#: What follows @ in code and markup rather than in a handle: fixed values.
+CODE_WORDS = frozenset("author deprecated font import media override param property return returns see since test throws".split())
 
-#: Candidates of the added kinds, each a linear pattern that needs a rare character or a cue nearby.
-SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_/+-])")
+#: Candidates of the added kinds by shape alone, each a linear pattern; whether they are personal is for the votes to say.
+SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}")
 ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")
-HANDLE = re.compile(r"(?<![A-Za-z0-9._%+@-])@[A-Za-z_][A-Za-z0-9_]{2,30}\b(?![.@])")
-NAME_START = re.compile(r"\b(?=([A-Z]\w+) [A-Z]\w)")
-NAME = re.compile(r"[A-Z]\w+(?: [A-Z]\w+){1,2}")
+HANDLE = re.compile(r"(?<![A-Za-z0-9._%+@-])@[A-Za-z_][A-Za-z0-9_]{2,}+(?![.@])")
+NAME = re.compile(r"\b[A-Z]\w+(?: [A-Z]\w+){1,2}\b")
+TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? ([A-Z]\w+)\b(?! [A-Z])")
 WORDS = re.compile(r"\w+")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+CAPITAL = re.compile(r"[^\W\d_]+")
+#: Characters before a candidate among which its three last words are looked for.
+BEFORE = 200
+#: The number of candidates that each pattern of votes counts as before any is seen.
+UNSEEN = 0.25
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -113,129 +122,192 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-def _near(text: str, start: int, cues: frozenset) -> bool:
-    return any(w.lower() in cues for w in WORDS.findall(text[max(0, start - 24) : start])[-3:])
+def _votes_on_secret(text: str, start: int, end: int) -> str:
+    s = text[start:end].rstrip("=")
+    mixed = any(c.islower() for c in s) and any(c.isupper() for c in s)
+    wordy = any(p.isalpha() and p.islower() and len(p) > 2 for p in re.split("[/_-]", s))
+    form = "+" if HEX.fullmatch(s) or (mixed and not wordy) else "-" if wordy else "0"
+    return form + ("+" if entropy(s) >= 3.2 else "-") + _cue(text, start, SECRET_CUES) + _frame(text, start, end)
 
 
-def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, str]]:
-    """Candidate spans (kind, start, end, votes) of the added kinds, clear of base spans and of one another.
+def _votes_on_account(text: str, start: int, end: int) -> str:
+    s = text[start:end]
+    check = ("+" if iban(s) else "-") if s[0].isalpha() else ("-" if s[:3] in ("000", "666") else "0")
+    return "+" + check + _cue(text, start, ACCOUNT_CUES) + _frame(text, start, end)
 
-    The votes are one character a labeler: + for personal data, - against, 0 for none. Labelers: form (the pattern's
-    strict shape), check (checksum, entropy or gazetteer), context (a cue word before), frame (quotes, = or : around).
+
+def _votes_on_handle(text: str, start: int, end: int) -> str:
+    s = text[start + 1 : end]
+    check = "-" if s.lower() in CODE_WORDS else "+" if "_" in s or ASCII_DIGIT.search(s) else "0"
+    form = "-" if text[end : end + 1] in ("(", "{") else "+" if s.lower() == s else "0"
+    return form + check + _cue(text, start, HANDLE_CUES) + _frame(text, start, end)
+
+
+def _votes_on_name(text: str, start: int, end: int, lower: frozenset) -> str:
+    """A name's words are capitalised, differ and are not used in lower case by the same text; one that begins a
+    sentence may be capitalised for that."""
+    parts = text[start:end].split(" ")
+    plain = all(CAPITAL.fullmatch(p) and p[1:].islower() for p in parts) and len(set(parts)) == len(parts)
+    form = "-" if not plain else "+" if len(parts) == 2 else "0"
+    check = "+" if parts[0] in FIRST_NAMES else "-" if any(p.lower() in lower for p in parts) else "0"
+    before = text[max(0, start - 2) : start].strip(" ")
+    return form + check + _cue(text, start, NAME_CUES) + ("-" if before in ("", ".", "!", "?", "\n", ":") else "0")
+
+
+def _untitled(text: str, start: int, end: int) -> tuple[int, int]:
+    """The words of a span after its last title, if any are left."""
+    parts = text[start:end].split(" ")
+    titles = [i for i, p in enumerate(parts[:-1]) if p.lower() in NAME_CUES]
+    return (start + sum(len(p) + 1 for p in parts[: titles[-1] + 1]) if titles else start), end
+
+
+def _cue(text: str, start: int, cues: frozenset) -> str:
+    """Whether one of the three words before a candidate is a cue."""
+    return "+" if any(w.lower() in cues for w in WORDS.findall(text[max(0, start - BEFORE) : start])[-3:]) else "-"
+
+
+def _frame(text: str, start: int, end: int) -> str:
+    around = text[max(0, start - 3) : start] + text[end : end + 1]
+    return "+" if any(c in around for c in "\"'=:`") else "0"
+
+
+def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, str, str]]:
+    """Candidate spans (kind, start, end, votes, shape) of the added kinds, clear of base spans and of one another.
+
+    The votes are one character a labeler: + for personal data, - against, 0 for none. Labelers: form (the strict
+    pattern), check (checksum, entropy or gazetteer), context (a cue word before), frame (what is around). ``shape``
+    names what the classifier sees besides (see ``shape_of``).
     """
     found: list[tuple[str, int, int, str]] = []
     if ASCII_DIGIT.search(text):
         for m in SECRET.finditer(text):
             s = m.group()
-            if not ASCII_DIGIT.search(s) or s.replace("-", "").replace("_", "").isdigit():
-                continue
-            form = "+" if HEX.fullmatch(s) or (s.upper() != s and s.lower() != s) else "0"
-            check = "+" if entropy(s) >= 3.2 else "-"
-            found.append(("secret", *m.span(), form + check + _cues(text, m.start(), m.end(), SECRET_CUES)))
+            if ASCII_DIGIT.search(s) and any(c.isalpha() for c in s):
+                found.append(("secret", *m.span(), _votes_on_secret(text, *m.span())))
         for m in ACCOUNT.finditer(text):
-            s = m.group()
-            check = ("+" if iban(s) else "-") if s[0].isalpha() else ("-" if s[:3] in ("000", "666") else "0")
-            found.append(("account", *m.span(), "+" + check + _cues(text, m.start(), m.end(), ACCOUNT_CUES)))
+            found.append(("account", *m.span(), _votes_on_account(text, *m.span())))
     if "@" in text:
         for m in HANDLE.finditer(text):
-            found.append(("handle", *m.span(), "0" + ("+" if "_" in m.group() else "0") + _cues(text, m.start(), m.end(), frozenset())))
-    for first in NAME_START.finditer(text):
-        if first.group(1) in FIRST_NAMES:
-            m = NAME.match(text, first.start())
-            form = "+" if m.group().count(" ") == 1 else "0"
-            found.append(("name", *m.span(), form + "+" + _cues(text, m.start(), m.end(), NAME_CUES)))
+            found.append(("handle", *m.span(), _votes_on_handle(text, *m.span())))
+    names = [_untitled(text, *m.span()) for m in NAME.finditer(text)] + [m.span(1) for m in TITLED.finditer(text)]
+    if names:
+        lower = frozenset(w for w in WORDS.findall(text) if w.islower())
+        found += [("name", *span, _votes_on_name(text, *span, lower)) for span in names]
     taken = sorted(x for spans in base.values() for x in spans)
     starts = [s for s, _ in taken]
     reach = list(np.maximum.accumulate([e for _, e in taken])) if taken else []
     out, done = [], {k: 0 for k in ADDED}
-    for c in sorted(found, key=lambda c: (c[1], KINDS.index(c[0]))):
-        i = bisect_left(starts, c[2])
-        if (i == 0 or reach[i - 1] <= c[1]) and c[1] >= done[c[0]]:
-            out.append(c)
-            done[c[0]] = c[2]
+    for kind, start, end, votes in sorted(found, key=lambda c: (c[1], KINDS.index(c[0]))):
+        i = bisect_left(starts, end)
+        if (i == 0 or reach[i - 1] <= start) and start >= done[kind]:
+            out.append((kind, start, end, votes, shape_of(text, start, end)))
+            done[kind] = end
     return out
 
 
-def _cues(text: str, start: int, end: int, cues: frozenset) -> str:
-    around = text[max(0, start - 3) : start] + text[end : end + 1]
-    return ("+" if _near(text, start, cues) else "-") + ("+" if any(c in around for c in "\"'=:`") else "0")
+def shape_of(text: str, start: int, end: int) -> str:
+    """What a span and its neighbours look like, one character each: its length, share of digits, case and entropy in
+    steps, and the classes of the characters beside it."""
+    s = text[start:end]
+    digits = sum(c.isdigit() for c in s) / len(s)
+    case = "l" if s.islower() else "u" if s.isupper() else "m"
+
+    def beside(c: str) -> str:
+        return "e" if not c else "a" if c.isalnum() else "s" if c.isspace() else "q" if c in "\"'`" else "p"
+
+    return f"{min(9, len(s).bit_length())}{int(digits * 4)}{case}{min(5, int(entropy(s)))}{beside(text[max(0, start - 1):start])}{beside(text[end:end + 1])}"
 
 
 def vote_counts(docs: DataFrame) -> DataFrame:
-    """(kind, votes, n): how often each pattern of votes occurs on the candidates of all whole texts."""
+    """(kind, votes, shape, n): how often each pattern occurs on the candidates of all whole texts."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             n: Counter = Counter()
             for text in part["text"]:
                 if text:
-                    n.update((kind, votes) for kind, _, _, votes in candidates(text, base_spans(text)))
-            yield pd.DataFrame([(k, v, c) for (k, v), c in n.items()], columns=["kind", "votes", "n"])
+                    n.update((kind, votes, shape) for kind, _, _, votes, shape in candidates(text, base_spans(text)))
+            yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["kind", "votes", "shape", "n"])
 
-    counted = docs.select("text").mapInPandas(run, "kind string, votes string, n long")
-    return counted.groupBy("kind", "votes").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInPandas(run, "kind string, votes string, shape string, n long")
+    return counted.groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n"))
 
 
 def reliabilities(patterns: list[str], n: np.ndarray, rounds: int = 50) -> np.ndarray:
     """The posterior probability that the candidates of each vote pattern are personal data.
 
-    Expectation-maximisation with a hidden class: each labeler has a distribution over its three votes in either class,
-    smoothed towards a labeler that is right four times in five.
+    Expectation-maximisation with a hidden class: each labeler has a distribution over its three votes in either class.
+    A prior towards labelers that are right four times in five, and a class of a tenth, weighs as much as a fifth of the
+    candidates: a large class of one kind can't turn the labelers' meaning around, and patterns that the corpus lacks
+    have posteriors too.
     """
     votes = np.array([["-0+".index(v) for v in p] for p in patterns])
     prior_counts = np.array([[4.0, 2.5, 1.0], [1.0, 2.5, 4.0]])  # votes - 0 + of a labeler, outside and inside
+    mass = max(prior_counts[0].sum(), n.sum() / 5)
+    prior_counts = prior_counts * mass / prior_counts[0].sum()
     score = (votes - 1).sum(axis=1)
     q = 1 / (1 + np.exp(-1.5 * score))
     for _ in range(rounds):
         logs = []
         for inside, p in ((0, (1 - q) * n), (1, q * n)):
-            total = np.log(p.sum() + 1)
+            total = np.log(p.sum() + mass * (0.1 if inside else 0.9))
             for j in range(votes.shape[1]):
                 rate = np.bincount(votes[:, j], weights=p, minlength=3) + prior_counts[inside]
                 total = total + np.log(rate / rate.sum())[votes[:, j]]
             logs.append(total)
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
-        if np.abs(new - q).max() < 1e-6:
-            break
+        done = np.abs(new - q).max() < 1e-6
         q = new
-    return new
+        if done:
+            break
+    return q
 
 
 @dataclass
 class Model:
-    """The span classifier: a logistic regression over kind and votes."""
+    """The span classifier: a logistic regression over kind, votes and shape."""
 
     weights: dict[str, float]
 
-    def is_private(self, kind: str, votes: str) -> bool:
+    def is_private(self, kind: str, votes: str, shape: str) -> bool:
         w = self.weights
-        total = w.get(kind, -1.0) + sum(w.get(f"{kind}:{j}{v}", 0.0) for j, v in enumerate(votes))
-        return total > 0
+        return w.get(kind, -1.0) + sum(w.get(f, 0.0) for f in features(kind, votes, shape)) > 0
+
+
+def features(kind: str, votes: str, shape: str) -> list[str]:
+    return [f"{kind}:{j}{v}" for j, v in enumerate(votes)] + [f"{kind}.{j}{v}" for j, v in enumerate(shape)]
 
 
 def fit(counts: pd.DataFrame) -> Model:
-    """The classifier trained on the posterior labels of all candidates, which their counted vote patterns stand for."""
+    """The classifier trained on the posterior labels of all candidates, which their counted patterns (kind, votes,
+    shape, n) stand for. Vote patterns, summed over shapes, give the posteriors. Every pattern of votes, seen or not, has
+    a small weight of its own, so that kinds and votes that a corpus lacks are judged by the labelers' prior."""
     weights: dict[str, float] = {}
-    for kind, part in counts.sort_values(["kind", "votes"]).groupby("kind"):
-        patterns, n = part["votes"].tolist(), part["n"].to_numpy(dtype=float)
-        q = reliabilities(patterns, n)
-        features = [[f"{kind}:{j}{v}" for j, v in enumerate(p)] for p in patterns]
-        names = sorted({f for row in features for f in row})
-        x = np.array([[name in row for name in names] for row in features], dtype=float)
-        x = np.hstack([x, np.ones((len(x), 1))])
-        share = n / n.sum() * min(n.sum(), 1000.0)
+    every = pd.DataFrame([(k, "".join(v), "", UNSEEN) for k in ADDED for v in product("-0+", repeat=4)], columns=["kind", "votes", "shape", "n"])
+    for kind, part in pd.concat([every, counts]).sort_values(["kind", "votes", "shape"]).groupby("kind"):
+        by_votes = part.groupby("votes")["n"].sum()
+        posterior = dict(zip(by_votes.index, reliabilities(by_votes.index.tolist(), by_votes.to_numpy(dtype=float))))
+        q, n = part["votes"].map(posterior).to_numpy(), part["n"].to_numpy(dtype=float)
+        rows = [features(kind, v, s) for v, s in zip(part["votes"], part["shape"])]
+        place = {f: i for i, f in enumerate(sorted({f for row in rows for f in row}))}
+        x = np.zeros((len(rows), len(place) + 1))
+        x[:, -1] = 1
+        for i, row in enumerate(rows):
+            x[i, [place[f] for f in row]] = 1
+        share = np.where(part["shape"] == "", n, n / n.sum() * min(n.sum(), 1000.0))
+        ridge = np.array([*(5.0 if "." in f else 0.05 for f in place), 0.05])
         w = np.zeros(x.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            curve = (x * (share * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + 0.1 * np.eye(len(w))
-            w -= np.linalg.solve(curve, x.T @ (share * (p - q)) + 0.1 * w)
-        weights |= dict(zip([*names, str(kind)], w.tolist()))
+            curve = (x * (share * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(ridge)
+            w -= np.linalg.solve(curve, x.T @ (share * (p - q)) + ridge * w)
+        weights |= dict(zip([*place, str(kind)], w.tolist()))
     return Model(weights)
 
 
 def train(docs: DataFrame) -> Model:
-    """A model from all candidates of ``docs`` (text). The driver gets one row for each pattern of votes; there are at
-    most 3**4 of them a kind, however many documents."""
+    """A model from all candidates of ``docs`` (text). The driver gets one row for each pattern of votes and shape, of
+    which there are at most 3**4 * 9 * 5 * 3 * 6 * 25 a kind, however many documents; corpora have some hundreds."""
     return fit(vote_counts(docs).toPandas())
 
 
@@ -243,7 +315,7 @@ def spans_of(text: str, model: Model) -> tuple[dict[str, list[tuple[int, int]]],
     """The base spans, and all spans (kind, start, end): base ones, and the candidates that the model accepts."""
     base = base_spans(text)
     every = [(k, s, e) for k in BASE for s, e in base[k]]
-    every += [(k, s, e) for k, s, e, votes in candidates(text, base) if model.is_private(k, votes)]
+    every += [(k, s, e) for k, s, e, *seen in candidates(text, base) if model.is_private(k, *seen)]
     every.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
     return base, every
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, components, embeddings, minhash, tokens, urls
+from siltstone.llm import chat, components, embeddings, minhash, pii, tokens, urls
 from siltstone.llm.common import Scratch
 
 
@@ -203,3 +203,39 @@ def test_cascades_rehash_and_stay_exact(monkeypatch):
     (seed, levels), = urls._by_shard(built).values()
     assert seed == 1 and len(levels) > 1
     assert urls._inside(levels, urls._hash(keys, seed)).tolist() == [i % 3 == 0 for i in range(400)]
+
+
+def test_reliabilities_agree_with_hand_counts():
+    """Two labelers that always agree with the hidden class, one that never speaks, one that always says yes: the
+    posteriors follow the first two, and the smoothed counts are those of one more step by hand."""
+    patterns, n = ["++0+", "--0+", "+-0+"], np.array([60.0, 90.0, 2.0])
+    q = pii.reliabilities(patterns, n)
+    assert q[0] > 0.95 and q[1] < 0.05 and q[1] < q[2] < q[0]
+    mass = n.sum() / 5
+    prior = np.array([[4.0, 2.5, 1.0], [1.0, 2.5, 4.0]]) * mass / 7.5
+    logs = np.zeros((2, 3))
+    for side, p in ((0, (1 - q) * n), (1, q * n)):
+        logs[side] += np.log(p.sum() + mass * (0.9, 0.1)[side])
+        for j in range(4):
+            rate = [sum(w for w, v in zip(p, patterns) if v[j] == c) + prior[side][k] for k, c in enumerate("-0+")]
+            logs[side] += [np.log(rate["-0+".index(v[j])] / sum(rate)) for v in patterns]
+    assert np.allclose(q, 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-4)
+
+
+PLANTED = [
+    ("Herr {}, guten Tag", "name", ["Friedrich", "Zhang Wei", "Bob Smith"]), ("mein name ist {} und", "name", ["Maria Lopez", "Paul Meier"]),
+    ("the token = \"{}\" was", "secret", ["ab12" * 10, "Zx9_" * 60, "k7/Q+" * 5 + "==", "A1b2C3d4E5f6G7h8"]), ("follow {} now", "handle", ["@jo_doe99", "@m1_" + "x" * 40]),
+    ("pay to IBAN {} today", "account", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]),
+]
+PLAIN = ["see src/main/java/app1/Test2/view3 here", "The Old House and the house", "@media (x) and @param y", "MIT License text", "Of Of Of", "a plain line of text", "id 12345678901234567890"]
+
+
+def test_added_spans_are_found_and_plain_texts_left_alone(spark):
+    texts = [t.format(v) for t, _, values in PLANTED for v in values for _ in range(8)] + PLAIN * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_private(docs, pii.train(docs)).collect()}
+    want = [f"{k}:{t.index('{')}:{t.index('{') + len(v)}" for t, k, values in PLANTED for v in values for _ in range(8)]
+    right = sum(w in got[i].split(",") for i, w in enumerate(want))
+    said = sum(len(g.split(",")) for g in got.values() if g)
+    assert right / len(want) >= 0.95 and right / said >= 0.95
+    assert not any(got[i] for i in range(len(want), len(texts)))
