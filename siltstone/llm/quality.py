@@ -15,15 +15,16 @@ from siltstone.llm.common import Scratch
 from siltstone.llm.labels import labelled_sample
 from siltstone.llm.shingles import U, mix, word_hashes
 
-#: Words of a passage, labelled documents that training reads, and passages of one of them; a longer one is split into
-#: bags of so many passages, all with its label.
-PASSAGE, SAMPLE, BAG = 128, 8_000, 64
+#: Words of a passage, and labelled documents that training reads.
+PASSAGE, SAMPLE = 128, 8_000
 #: Sizes of a passage's encoding and of the attention's hidden layer.
 CODE, HIDDEN = 12, 8
 
 #: Classes of bytes whose shares describe a passage: fixed values.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"|", b"%$#&*", b".", b",", b"\n", b"<>{}[]=;", b"-_/\\:'\"()?@+^~`"]
-SHAPE = len(CLASSES) + 6
+#: Signed sums of hashed words, a passage's bag of words.
+HASHED = 32
+SHAPE = len(CLASSES) + 6 + HASHED
 
 
 def passages(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +50,9 @@ def passages(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     nth = np.cumsum(head) - 1 - edge[text_at]
     row = (np.cumsum(counts) - counts)[text_at] + np.maximum(0, nth) // PASSAGE
     width = len(CLASSES) + 2
-    table = np.bincount(row * width + code[data], minlength=len(out) * width).reshape(-1, width)
+    own = np.ones(len(data), dtype=bool)
+    own[np.cumsum(lengths + 1)[:-1] - 1] = False  # the blanks between texts are no part of them
+    table = np.bincount((row * width + code[data])[own], minlength=len(out) * width).reshape(-1, width)
     size = np.maximum(1, table.sum(axis=1))
     out[:, : width - 1] = table[:, 1:] / size[:, None]
     of_word = row[np.flatnonzero(head)]
@@ -58,12 +61,17 @@ def passages(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     solid = np.bincount(row[~gap], minlength=len(out))
     distinct = np.unique(mix(words ^ mix(of_word.astype(U))), return_index=True)[1]
     pairs = mix(words[:-1] * U(3) + words[1:] + mix(of_word[:-1].astype(U)))
-    distinct_pairs = np.unique(pairs, return_index=True)[1]
+    inside = np.flatnonzero(of_word[:-1] == of_word[1:])
+    distinct_pairs = inside[np.unique(pairs[inside], return_index=True)[1]]
     out[:, width - 1] = np.bincount(of_word[distinct], minlength=len(out)) / full
     out[:, width] = np.minimum(1, np.bincount(of_word[:-1][distinct_pairs], minlength=len(out)) / full)
     out[:, width + 1] = solid / full / 10
     out[:, width + 2] = np.log1p(in_passage) / 5
     out[:, width + 3] = (in_passage > 0)
+    sign = np.where(words >> U(63), 1.0, -1.0)
+    place = of_word * HASHED + (words >> U(32)).astype(np.int64) % HASHED
+    sums = np.bincount(place, weights=sign, minlength=len(out) * HASHED).reshape(-1, HASHED)
+    out[:, width + 4 :] = sums / np.sqrt(full)[:, None]
     return out, counts
 
 
@@ -152,15 +160,15 @@ def _bags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             done += len(chunk)
             rows = []
             for end, n, label in zip(np.cumsum(counts), counts, labels):
-                for s in range(end - n, end, BAG):
-                    rows.append((x[s : min(end, s + BAG)].astype(np.float32).tobytes(), label))
+                rows.append((x[end - n : end].astype(np.float32).tobytes(), label))
             yield pd.DataFrame(rows, columns=["bag", "label"])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: Column, scratch: Scratch, out: str) -> DataFrame:
     """``docs`` with the probability of quality label 1, from its whole text, in the double column ``out``.
 
-    Labels are learned from at most SAMPLE rows of ``labels`` (doc_id, quality) that satisfy ``keep``. Null, empty and
+    Labels are learned from at most SAMPLE rows of ``labels`` (doc_id, quality) that satisfy ``keep``, and from at most
+    labels.CHARS characters; each document is one bag, in training as in scoring. Null, empty and
     blank texts are scored as one passage without words. Repeated rows get equal scores; without labels, or with labels
     of one class only, every score is the share of label 1 (0.5 without any). An empty table gives an empty result.
     """

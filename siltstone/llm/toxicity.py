@@ -21,10 +21,13 @@ SAMPLE, VOTERS = 12_000, 192
 #: The surprise and the share of toxic documents that a mined voter has at least.
 LEAST, PURE = 12.0, 0.9
 
-#: Insults, one voter each: fixed values.
+#: Insults in English, German, French and Spanish, one voter each: fixed values.
 LEXICON = [
     "bastard", "clown", "cretin", "disgusting", "dumbass", "filth", "garbage", "idiot", "imbecile", "loser", "moron",
     "pathetic", "retard", "scum", "stupid", "trash", "vermin", "worthless",
+    "abschaum", "arschloch", "blödmann", "depp", "dummkopf", "hurensohn", "mistkerl", "schwachkopf", "trottel", "versager",
+    "abruti", "bâtard", "connard", "connasse", "crétin", "débile", "enfoiré", "imbécile", "ordure", "salaud",
+    "cabrón", "escoria", "gilipollas", "idiota", "imbécil", "inútil", "maldito", "mierda", "pendejo", "tarado",
 ]
 
 #: Digits and signs that stand for letters: fixed values.
@@ -148,11 +151,12 @@ def label_model(votes: np.ndarray, accuracy: np.ndarray, prior: float, rounds: i
     """The posterior probability of toxicity for each row of 0/1 ``votes`` (documents by voters; 0 is no vote).
 
     A generative model with a hidden class: expectation-maximisation estimates the share of toxic documents among those
-    that each voter speaks on, from a first ``accuracy``, and the ``prior`` share. The voters' correlations within the
+    that each voter speaks on and the ``prior`` share, with a prior towards the first ``accuracy`` and share, which weighs as
+    much as the votes do: what labels have shown is not forgotten. The voters' correlations within the
     classes are estimated in each round, and a voter's evidence is divided by one plus its positive correlations with
     the others, so that near copies of a voter don't count twice. A voter that is silent gives no evidence.
     """
-    said = votes.sum(axis=0)
+    said, first, share = votes.sum(axis=0), accuracy, prior
     q = np.full(len(votes), prior)
     shared = np.zeros((votes.shape[1], votes.shape[1]))
     for _ in range(rounds):
@@ -164,8 +168,8 @@ def label_model(votes: np.ndarray, accuracy: np.ndarray, prior: float, rounds: i
         q = new
         if done:
             break
-        accuracy = np.clip((q @ votes + 0.2 * prior) / (said + 0.2), 1e-3, 1 - 1e-3)
-        prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
+        accuracy = np.clip((q @ votes + said * first + 0.2 * prior) / (2 * said + 0.2), 1e-3, 1 - 1e-3)
+        prior = float(np.clip((q.mean() + share) / 2, 1e-3, 1 - 1e-3))
         shared[:] = 0
         for p in (1 - q, q):
             rate = p @ votes / max(p.sum(), 1e-9)
@@ -261,7 +265,6 @@ def sample_of(docs: DataFrame, labels: DataFrame, keep: Column, scratch: Scratch
     Copies count once, by their largest label."""
     sample = labelled_sample(docs, labels, "toxic", keep, SAMPLE, scratch)
     texts = scratch.save(sample.groupBy("text").agg(F.max("label").alias("label")), "texts")
-    scratch.drop(sample)
     return texts
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, components, embeddings, minhash, pii, tokens, urls
+from siltstone.llm import chat, components, embeddings, labels, minhash, pii, quality, tokens, toxicity, urls
 from siltstone.llm.common import Scratch
 
 
@@ -239,3 +239,63 @@ def test_added_spans_are_found_and_plain_texts_left_alone(spark):
     said = sum(len(g.split(",")) for g in got.values() if g)
     assert right / len(want) >= 0.95 and right / said >= 0.95
     assert not any(got[i] for i in range(len(want), len(texts)))
+
+
+def test_attention_gradients_equal_differences():
+    rng = np.random.default_rng(1)
+    counts = np.array([3, 1, 4])
+    starts, x, y = np.cumsum(counts) - counts, rng.normal(size=(8, quality.SHAPE)), np.array([1.0, 0.0, 1.0])
+    sizes = {"encode": (quality.SHAPE, 3), "encode0": 3, "tanh": (3, 2), "gate": (3, 2), "attend": 2, "score": 3, "score0": 1}
+    p = {k: rng.normal(0, 0.4, size=s) for k, s in sizes.items()}
+
+    def loss():
+        out = quality.forward(p, x, starts, counts)["y"]
+        return -(y * np.log(out) + (1 - y) * np.log(1 - out)).mean()
+
+    f = quality.forward(p, x, starts, counts)
+    assert np.allclose(np.add.reduceat(f["a"], starts), 1)
+    grads = quality.backward(p, f, x, counts, starts, (f["y"] - y) / 3)
+    for k in p:
+        flat, slope = p[k].reshape(-1), np.asarray(grads[k]).reshape(-1)
+        for i in range(0, len(flat), 7):
+            flat[i] += 1e-5
+            up = loss()
+            flat[i] -= 2e-5
+            down = loss()
+            flat[i] += 1e-5
+            assert abs((up - down) / 2e-5 - slope[i]) < 1e-6
+
+
+def test_passages_hold_the_words_of_whole_texts():
+    long = " ".join(f"word{i}" for i in range(1000))
+    x, counts = quality.passages([b"", long.encode(), b"one two"])
+    assert counts.tolist() == [1, 8, 1] and x.shape == (10, quality.SHAPE) and not x[0].any()
+    again = quality.passages([long.encode()])[0]
+    assert np.allclose(x[1:9], again) and np.abs(x[9, -quality.HASHED:]).sum() > 0
+
+
+def test_label_model_weighs_voters_by_what_they_are_worth():
+    """Good voters, a voter by chance, and three copies of a weak one that must not count three times."""
+    rng = np.random.default_rng(2)
+    truth = rng.random(3000) < 0.3
+    speak = lambda inside, outside: np.where(truth, rng.random(3000) < inside, rng.random(3000) < outside)
+    weak = speak(0.3, 0.1)
+    votes = np.column_stack([speak(0.7, 0.02), speak(0.6, 0.03), speak(0.3, 0.3), weak, weak, weak]).astype(float)
+    votes = np.column_stack([votes, votes.sum(axis=1) == 0])
+    accuracy = np.array([0.8, 0.8, 0.4, 0.5, 0.5, 0.5, 0.1])
+    q = toxicity.label_model(votes, accuracy, 0.3)
+    strong, chance, silent = (votes[:, :2].sum(axis=1) > 0), (votes[:, 2] > 0) & (votes[:, [0, 1, 3]].sum(axis=1) == 0), votes[:, 6] > 0
+    assert q[strong].mean() > q[chance].mean() + 0.2 > q[silent].mean() + 0.4
+    one = toxicity.label_model(votes[:, [0, 1, 2, 3, 6]], accuracy[[0, 1, 2, 3, 6]], 0.3)
+    only_weak = (votes[:, :3].sum(axis=1) == 0) & weak
+    assert abs(q[only_weak].mean() - one[only_weak].mean()) < 0.1
+
+
+def test_samples_are_bounded_and_hold_each_id_once(spark, scratch, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, f"{i:03d} " * 10) for i in range(100)] + [(None, "x")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    whole = labels.labelled_sample(docs, known, "toxic", F.lit(True), 1000, scratch).collect()
+    assert len(whole) == 50 and {r.text[:3] for r in whole} == {f"{i:03d}" for i in range(50)}
+    monkeypatch.setattr(labels, "CHARS", 400)
+    assert len(labels.labelled_sample(docs, known, "toxic", F.lit(True), 1000, scratch).collect()) == 10
+    assert len(labels.labelled_sample(docs, known, "toxic", F.lit(True), 5, scratch).collect()) == 5
