@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,6 +82,56 @@ def title_matches(facts: DataFrame, memories: DataFrame) -> DataFrame:
     return keyed.join(heads, ["type", "key"]).select("fact_id", "memory_id")
 
 
+def redacted(rows: DataFrame, column: str = "text") -> DataFrame:
+    """``rows`` with ``column`` redacted, and redacted_count and labels: how many secrets went, and of which kinds.
+
+    Kinds are applied one after the other, each to what the one before left, and tokens of high entropy last. A text is
+    searched for a kind only if it holds one of its signs. A null text is empty.
+    """
+    out = rows.withColumn(column, F.coalesce(column, F.lit(""))).withColumn("_count", F.lit(0)).withColumn("_labels", F.array().cast("array<string>"))
+    for label, pattern, new in text.SECRETS:
+        low = F.lower(column)
+        sign = reduce(lambda a, b: a | b, (F.contains(low, F.lit(s)) for s in text.SECRET_SIGNS[label]))
+        out = out.withColumn("_n", F.when(sign, F.regexp_count(column, F.lit(pattern))).otherwise(0))
+        out = out.withColumns({
+            column: F.when(F.col("_n") > 0, F.regexp_replace(column, pattern, new)).otherwise(F.col(column)),
+            "_count": F.col("_count") + F.col("_n"),
+            "_labels": F.when(F.col("_n") > 0, F.array_append("_labels", F.lit(label))).otherwise(F.col("_labels")),
+        })
+    out = out.withColumn("_n", F.size(text.entropic_tokens(F.col(column))))
+    out = out.withColumn(column, F.when(F.col("_n") > 0, text.redact_entropic(F.col(column))).otherwise(F.col(column)))
+    labels = F.when(F.col("_n") > 0, F.array_append("_labels", F.lit("high_entropy"))).otherwise(F.col("_labels"))
+    return out.withColumns({"redacted_count": (F.col("_count") + F.col("_n")).cast("long"), "labels": labels}).drop("_n", "_count", "_labels")
+
+
+def matches(facts: DataFrame, rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """(fact_id, memory_id, score) of the rows (memory_id, unit) whose product with a fact (fact_id, unit) is at least
+    ``least``, and of each fact's nearest row, itself left out.
+
+    Facts and rows are cut into blocks by a hash; each pair of blocks is a product of two matrices in one task, which
+    passes on a fact's best row of the block and those that are near enough.
+    """
+    of_facts, of_rows = (max(1, -(-df.count() // block)) for df in (facts, rows))
+    ours = facts.select(F.col("fact_id").alias("id"), "unit", F.lit(True).alias("is_fact"))
+    theirs = rows.select(F.col("memory_id").alias("id"), "unit", F.lit(False).alias("is_fact"))
+    ours = ours.withColumn("i", F.expr(f"pmod(xxhash64(id), {of_facts})")).withColumn("j", F.explode(F.expr(f"sequence(0L, {of_rows - 1}L)")))
+    theirs = theirs.withColumn("j", F.expr(f"pmod(xxhash64(id), {of_rows})")).withColumn("i", F.explode(F.expr(f"sequence(0L, {of_facts - 1}L)")))
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        a, b = tile[tile["is_fact"]], tile[~tile["is_fact"]].sort_values("id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"fact_id": [], "memory_id": [], "score": []})
+        score = np.stack(a["unit"].to_list()) @ np.stack(b["unit"].to_list()).T
+        score[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = -np.inf
+        kept = score >= least
+        kept[np.arange(len(a)), score.argmax(axis=1)] = True
+        kept &= score > -np.inf
+        i, j = np.nonzero(kept)
+        return pd.DataFrame({"fact_id": a["id"].to_numpy()[i], "memory_id": b["id"].to_numpy()[j], "score": score[i, j]})
+
+    return ours.unionByName(theirs).groupBy("i", "j").applyInPandas(compare, "fact_id long, memory_id long, score double")
+
+
 def thresholds(kind: Column) -> Column:
     """(skip, update, link) of a type."""
 

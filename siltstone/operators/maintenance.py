@@ -16,14 +16,15 @@ def keeper_score(accessed: Column, importance: Column, confidence: Column) -> Co
 
 
 def merge_winners(memories: DataFrame) -> DataFrame:
-    """(title_key, winner_id, n, loser_ids): of live records that share a title key, the one to keep."""
+    """(title_key, winner_id, n, loser_id): of the ``n`` live records that share a title key the one to keep, a row for
+    each of the others."""
     live = memories.where("status in ('active', 'candidate')").withColumn("title_key", text.title_key(F.col("title")))
     live = live.where("length(title_key) >= 2")
     score = keeper_score(F.col("last_accessed_at"), F.col("importance"), F.col("confidence"))
     rank = F.struct(score.alias("s"), "created_at", (-F.col("id")).alias("i"))
-    groups = live.groupBy("title_key").agg(F.max_by("id", rank).alias("winner_id"), F.collect_list("id").alias("ids"))
-    losers = F.array_sort(F.filter("ids", lambda i: i != F.col("winner_id")))
-    return groups.where("size(ids) > 1").select("title_key", "winner_id", F.size("ids").alias("n"), losers.alias("loser_ids"))
+    winners = live.groupBy("title_key").agg(F.max_by("id", rank).alias("winner_id"), F.count("*").alias("n")).where("n > 1")
+    losers = live.select("title_key", F.col("id").alias("loser_id")).join(winners, "title_key")
+    return losers.where("loser_id <> winner_id").select("title_key", "winner_id", "n", "loser_id")
 
 
 def clean_plan(
@@ -72,17 +73,23 @@ def untouched(memories: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return found.select("id", F.concat(F.lit("archive_extension:"), F.col("status")).alias("reason"))
 
 
-def plan_token(plan: DataFrame, kind: str) -> DataFrame:
-    """(plan_token, n): a digest of a plan's sorted ids, which a plan that has drifted doesn't share.
+def plan_token(plan: DataFrame) -> DataFrame:
+    """(plan_token, n): a digest of a plan (id, target_status), of what it archives and what it activates, which a plan
+    that has drifted doesn't share.
 
-    Ids meet as digests of hash-dealt slices first, so that no task holds all of a large plan.
+    Sorted ids meet as digests of slices by their MD5 first, so that no task holds all of a large plan; so the token is
+    not the digest of the plain list of ids that the store makes of a short plan.
     """
-    sliced = plan.groupBy(F.pmod(F.xxhash64("id"), F.lit(1024)).alias("slice")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "|"), 256).alias("part"),
-        F.count("*").alias("n"),
+    name = F.col("id").cast("string")
+    sliced = plan.groupBy("target_status", F.substring(F.md5(name), 1, 3).alias("slice")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(name)), "|"), 256).alias("part"), F.count("*").alias("n")
     )
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "part"))), lambda x: x["part"]), "|")
-    whole = F.concat(F.lit(f"{kind}|"), F.when(F.count("*") == 0, "__empty__").otherwise(parts))
+
+    def parts(status: str) -> Column:
+        mine = F.array_sort(F.collect_list(F.when(F.col("target_status") == status, F.struct("slice", "part"))))
+        return F.when(F.size(mine) == 0, "__empty__").otherwise(F.array_join(F.transform(mine, lambda x: x["part"]), "|"))
+
+    whole = F.concat(F.lit("archive|"), parts("archived"), F.lit("|active|"), parts("active"))
     return sliced.agg(F.substring(F.sha2(whole, 256), 1, 24).alias("plan_token"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text, vector
 from siltstone.functions.scores import instant
-from siltstone.model import GREETINGS, STOP_WORDS
+from siltstone.model import GREETINGS
 
 
 def search_terms(query: str, most: int = 8) -> list[str]:
     """The terms that a lexical search looks for."""
-    terms = [t for t in text.query_terms(query, most=10_000) if t not in STOP_WORDS]
-    return terms[:most]
+    light = lambda t: len(t) <= 2 and text.FUNCTION_CHARACTERS.issuperset(t)
+    return [t for t in text.query_terms(query) if not light(t)][:most]
 
 
 def is_greeting(task: str) -> bool:
@@ -101,7 +101,7 @@ def entity_index(memories: DataFrame) -> DataFrame:
     """(id, entity, normalized_entity, entity_type, weight): a record's entities, one for each normalised name, the one
     with the largest weight, else the smallest text."""
     raw = memories.select("id", F.explode(text.entities(F.col("content"), F.col("tags"))).alias("entity"))
-    named = raw.withColumn("normalized_entity", text.normalize_entity(F.col("entity"))).where("normalized_entity <> ''")
+    named = raw.withColumn("normalized_entity", text.canonical_entity(F.col("entity"))).where("normalized_entity <> ''")
     typed = named.withColumn("entity_type", text.entity_type(F.col("entity")))
     typed = typed.withColumn("weight", text.entity_weight(F.col("entity_type")))
     best = F.min(F.struct((-F.col("weight")).alias("w"), "entity", "entity_type"))

@@ -2,6 +2,7 @@
 
 from siltstone.plans import (  # noqa: F401
     agents,
+    console,
     curation,
     governance,
     graph,

@@ -106,9 +106,9 @@ def contradiction_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH k AS (SELECT *, {KEY} AS title_key,
   CASE WHEN last_accessed_at IS NOT NULL THEN 64 ELSE 0 END + greatest(0, least(7, round_even(importance * 4, 0))) * 8
     + greatest(0, least(7, round_even(confidence * 4, 0))) AS s FROM memories WHERE status IN ('active', 'candidate')),
-r AS (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY s DESC, created_at DESC, id) AS nth FROM k WHERE length(title_key) >= 2)
-SELECT title_key, max(id) FILTER (nth = 1) AS winner_id, count(*) AS n, list_sort(list(id) FILTER (nth > 1)) AS loser_ids
-FROM r GROUP BY title_key HAVING count(*) > 1""")
+r AS (SELECT *, first_value(id) OVER (PARTITION BY title_key ORDER BY s DESC, created_at DESC, id) AS winner_id,
+  count(*) OVER (PARTITION BY title_key) AS n FROM k WHERE length(title_key) >= 2)
+SELECT title_key, winner_id, n, id AS loser_id FROM r WHERE id <> winner_id""")
 def merge_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.merge_winners(view(spark, sf_dir, "memories"))
 
@@ -164,9 +164,13 @@ def plan_reason_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.reasons(_archived(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {ARCHIVE}, cut AS (SELECT target_status, substr(md5(id::VARCHAR), 1, 3) AS slice, count(*) AS n,
+  sha256(string_agg(id::VARCHAR, '|' ORDER BY id::VARCHAR)) AS part FROM archive GROUP BY ALL),
+told AS (SELECT string_agg(part, '|' ORDER BY slice) FILTER (target_status = 'archived') AS a,
+  string_agg(part, '|' ORDER BY slice) FILTER (target_status = 'active') AS b, sum(n)::BIGINT AS n FROM cut)
+SELECT substr(sha256('archive|' || coalesce(a, '__empty__') || '|active|' || coalesce(b, '__empty__')), 1, 24) AS plan_token, coalesce(n, 0) AS n FROM told""")
 def plan_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.plan_token(_cleaned(spark, sf_dir), "clean")
+    return maintenance.plan_token(_archived(spark, sf_dir))
 
 
 @query(f"""WITH o AS (SELECT * FROM links), e AS (SELECT source_id AS id FROM links UNION SELECT target_id FROM links)
@@ -195,12 +199,12 @@ def _pairs(spark: SparkSession, sf_dir: str, block: Column | None = None) -> Dat
 
 
 @query(f"WITH {PAIRS} SELECT * FROM pairs")
-def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def similarity_pairs_in_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {PAIRS_WHOLE} SELECT * FROM pairs")
-def similarity_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir, F.lit(0)).withColumn("score", F.round("score", 6))
 
 
@@ -211,12 +215,12 @@ SELECT a, b, score FROM pairs WHERE score BETWEEN 0.25 AND 0.75 AND a NOT IN (SE
 
 
 @query(f"WITH {PAIRS}, {CANDIDATES}")
-def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def link_candidates_in_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir, _pairs(spark, sf_dir))
 
 
 @query(f"WITH {PAIRS_WHOLE}, {CANDIDATES}")
-def link_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir, _pairs(spark, sf_dir, F.lit(0)))
 
 

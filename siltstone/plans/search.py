@@ -155,10 +155,16 @@ def text_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTITIES = """raw AS (SELECT id, unnest(list_concat(
     regexp_extract_all(content, 'https?://[^\\s)''"<>]+'),
     regexp_extract_all(content, '(?:^|[^A-Za-z0-9_])(/(?:[A-Za-z0-9_.@+-]+/)*[A-Za-z0-9_.@+-]+)', 1),
-    regexp_extract_all(content, '[A-Za-z0-9_.-]+\\.(?:sqlite3?|ya?ml|toml|json|db|py|md)'),
-    regexp_extract_all(content, '(?:port |:)([0-9]{2,5})', 1), tags)) AS e FROM memories),
-cut AS (SELECT id, regexp_replace(e, '^[.,;:)]+|[.,;:)]+$', '', 'g') AS entity FROM raw),
-named AS (SELECT id, entity, array_to_string(regexp_extract_all(lower(entity), '[a-z0-9]+|[一-鿿]+'), ' ') AS normalized_entity,
+    regexp_extract_all(content, '(?i)\\b[A-Za-z0-9_.-]+\\.(?:sqlite3?|ya?ml|toml|json|db|py|md)\\b'),
+    regexp_extract_all(content, '(?i)(?::|port\\s+|端口\\s*)([0-9]{2,5})\\b', 1),
+    regexp_extract_all(content, '(?i)\\b(?:memory\\.sqlite3|qdrant|ollama|nomic-embed-text|openmemory|mem0|mcp|fts5)\\b'),
+    list_filter(tags, lambda t: NOT regexp_matches(trim(t), '(?i)^(extracted|rollup|atomic_fact|agent:.+|project:.+|windows|claude|hermes|codex|gemini|opencode)$')))) AS e
+  FROM memories),
+cut AS (SELECT id, regexp_replace(trim(e), '^[.,;:)]+|[.,;:)]+$', '', 'g') AS entity FROM raw),
+named AS (SELECT id, entity, CASE array_to_string(regexp_extract_all(lower(entity), '[a-z0-9]+|[一-鿿]+'), ' ')
+    WHEN 'vector store' THEN 'qdrant' WHEN 'sqlite3' THEN 'sqlite' WHEN 'memory sqlite3' THEN 'sqlite' WHEN 'fts5' THEN 'sqlite'
+    WHEN 'nomic embed text' THEN 'ollama' WHEN 'model context protocol' THEN 'mcp' WHEN 'open memory' THEN 'openmemory' WHEN 'mem0' THEN 'openmemory'
+    ELSE array_to_string(regexp_extract_all(lower(entity), '[a-z0-9]+|[一-鿿]+'), ' ') END AS normalized_entity,
   CASE WHEN starts_with(entity, 'http://') OR starts_with(entity, 'https://') THEN 'url' WHEN starts_with(entity, '/') THEN 'path'
     WHEN regexp_full_match(entity, '[0-9]{2,5}') THEN 'port'
     WHEN regexp_matches(entity, '\\.(sqlite3?|ya?ml|toml|json|db|py|md)$') THEN 'file' ELSE 'concept' END AS entity_type

@@ -21,11 +21,13 @@ def test_same_rows_as_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_without_sql(spark, sf, name):
     found = QUERIES[name](spark, sf)
-    assert found.columns and found.count() >= 0
+    assert found.columns
+    if name != "auto_supersession":  # no two documents are so alike here; test_rules holds it to a brute-force version
+        assert found.count() > 0
 
 
-def test_entry(spark):
+def test_entry(spark, con):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 12
+    assert compare.differences(__spark_entry__.entry(spark), con, ORACLES["context_pack_ranked"]) == []
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -168,7 +168,10 @@ def test_archives_and_transfer(spark, tmp_path):
     transfer.export_json({"r": rows}, f"{tmp_path}/x")
     back = transfer.import_json(spark, f"{tmp_path}/x", {"r": "id long, updated_at long"})["r"]
     assert back.exceptAll(rows).count() == 0 and transfer.exported_at({"r": rows}).first()[0] == 198
-    assert maintenance.plan_token(rows, "x").first() == maintenance.plan_token(rows.repartition(5), "x").first()
+    plan = rows.withColumn("target_status", F.lit("archived"))
+    token = maintenance.plan_token(plan).first()
+    assert token == maintenance.plan_token(plan.repartition(5)).first()
+    assert token != maintenance.plan_token(plan.withColumn("target_status", F.lit("active"))).first()
 
 
 def test_streams_equal_batches(spark, sf, tmp_path):
@@ -211,7 +214,7 @@ def test_pairs_across_labels(spark, sf):
 
     label = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     for name in ("similarity_pairs", "link_candidates"):
-        assert any(label[r.a] != label[r.b] for r in QUERIES[f"{name}_whole"](spark, sf).collect())
+        assert any(label[r.a] != label[r.b] for r in QUERIES[name](spark, sf).collect())
 
 
 def test_auto_supersessions_by_brute_force(spark):
