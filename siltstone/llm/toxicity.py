@@ -67,7 +67,7 @@ class Tokens:
         for w in words_of(text):
             got = seen.get(w)
             if got is None:
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 every = tokens_of(w)
                 got = tuple(every if self.known is None else (self.known[t] for t in every if t in self.known))
