@@ -9,12 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from siltstone.functions import text, vector
 from siltstone.model import DEDUP, DEDUP_OTHER
+from siltstone.sources.scratch import numbered
 
 WORDS = re.compile(r"[\w一-鿿]+")
 
@@ -187,35 +188,37 @@ def import_counts(existing: DataFrame, incoming: DataFrame, key: str = "id", tim
     )
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def distinct_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The distinct words of each text, as ``WORDS`` finds them."""
+    for part in parts:
+        yield part.map(lambda t: sorted(set(WORDS.findall(t))))
+
+
 def sequence_likeness(least: float) -> Callable[..., Column]:
-    """A function of two whole texts and their vectors' cosine, or null: see ``_likeness``; null below ``least``."""
+    """A function of two whole texts, their words' Jaccard and their vectors' cosine, or nulls: see ``_likeness``; null
+    below ``least``."""
 
     @F.pandas_udf(DoubleType())
-    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right, cosine in parts:
-            rows = zip(left, right, cosine)
-            yield pd.Series([_likeness(a or "", b or "", None if pd.isna(c) else c, least) for a, b, c in rows], dtype=float)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right, *numbers in parts:
+            words, cosine = (n.astype(object).where(n.notna(), None) for n in numbers)
+            yield pd.Series([_likeness(*row, least) for row in zip(left, right, words, cosine)], dtype=float)
 
     return run
 
 
-def _likeness(a: str, b: str, cosine: float | None, least: float) -> float | None:
+def _likeness(a: str, b: str, words: float | None, cosine: float | None, least: float) -> float | None:
     """.65 of the matching-blocks ratio of two texts and .35 of their words' Jaccard; where there is a cosine, .4 of that
-    and .6 of the cosine. The ratio is computed only where its upper bounds, by lengths and by letters, leave a chance."""
-    def blended(ratio: float, words: float | None) -> float:
+    and .6 of the cosine. The ratio is computed only where its upper bound by letters leaves a chance."""
+
+    def blended(ratio: float) -> float:
         out = ratio if words is None else round(ratio * 0.65 + words * 0.35, 4)
         return out if cosine is None else round(cosine * 0.6 + out * 0.4, 4)
 
-    most = 2 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 1.0
-    if blended(most, 1.0) < least:
-        return None
-    x, y = set(WORDS.findall(a)), set(WORDS.findall(b))
-    words = len(x & y) / len(x | y) if x and y else None
-    if blended(most, words) < least:
-        return None
     matcher = SequenceMatcher(None, a, b)
-    out = blended(matcher.quick_ratio(), words)
-    out = out if out < least else blended(matcher.ratio(), words)
+    out = blended(matcher.quick_ratio())
+    out = out if out < least else blended(matcher.ratio())
     return None if out < least else out
 
 
@@ -224,23 +227,42 @@ def auto_supersessions(
 ) -> DataFrame:
     """(old_id, new_id, likeness, action): active records of one type, scope and project whose lower-cased titles and
     contents, as a whole, are alike, and whose ``vectors`` (id, unit) are where both have one; if either is precious
-    they are left to review. Each record is compared with the ``newest`` records before it at most."""
-    w = Window.partitionBy("type", "scope", "project_path").orderBy(F.desc("updated_at"), "id")
+    they are left to review. Each record is compared with the ``newest`` records before it at most; one without a type,
+    scope or project is compared with none.
+
+    Records are numbered by ranges and meet by blocks of ``newest`` numbers: a record joins its own block and the next,
+    whatever the size of its group. Python gets the pairs that lengths, words and cosine leave a chance.
+    """
+    least, group = min(auto, review), ["type", "scope", "project_path"]
     whole = F.lower(F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))))
-    active = memories.where("status = 'active'").select(
-        "id", "type", "scope", "project_path", "importance", "feedback_score", whole.alias("text"), F.row_number().over(w).alias("nth")
-    )
+    active = memories.where("status = 'active'").dropna(subset=group)
+    active = active.select("id", *group, "importance", "feedback_score", "updated_at", whole.alias("text"))
+    active = active.withColumn("words", distinct_words("text"))
     if vectors is None:
         active = active.withColumn("unit", F.lit(None).cast("array<double>"))
     else:
         active = active.join(vectors.select("id", "unit"), "id", "left")
+    active = numbered(active, group, [F.desc("updated_at"), F.asc("id")]).drop("updated_at")
+    active = active.withColumn("block", F.floor(F.col("nth") / newest))
     side = lambda p: active.select(*(F.col(c).alias(f"{p}_{c}") for c in active.columns))
-    old, new = side("old"), side("new")
-    same = [F.col(f"old_{c}") == F.col(f"new_{c}") for c in ("type", "scope", "project_path")]
+    old, new = side("old"), side("new").withColumn("new_block", F.explode(F.array(F.col("new_block"), F.col("new_block") + 1)))
+    same = [F.col(f"old_{c}") == F.col(f"new_{c}") for c in (*group, "block")]
     near = (F.col("old_nth") > F.col("new_nth")) & (F.col("old_nth") <= F.col("new_nth") + newest)
-    cosine = vector.dot(F.col("old_unit"), F.col("new_unit"))
-    pairs = old.join(new, [*same, near]).withColumn("cosine", F.when(F.col("old_unit").isNotNull() & F.col("new_unit").isNotNull(), cosine))
-    likeness = sequence_likeness(min(auto, review))("new_text", "old_text", "cosine")
+    shared, both = F.size(F.array_intersect("old_words", "new_words")), F.size("old_words") + F.size("new_words")
+    jaccard = F.when((F.size("old_words") > 0) & (F.size("new_words") > 0), shared / (both - shared))
+    cosine = F.when(F.col("old_unit").isNotNull() & F.col("new_unit").isNotNull(), vector.dot(F.col("old_unit"), F.col("new_unit")))
+    old_size, new_size = F.length("old_text"), F.length("new_text")
+
+    def most(words: Column) -> Column:
+        """The most that two texts of these lengths can reach, and a little more for roundings."""
+        ratio = F.coalesce(F.try_divide(2 * F.least(old_size, new_size), old_size + new_size), F.lit(1.0))
+        out = F.when(words.isNull(), ratio).otherwise(ratio * 0.65 + words * 0.35)
+        return F.when(F.col("cosine").isNull(), out).otherwise(F.col("cosine") * 0.6 + out * 0.4) + 0.001
+
+    one = F.when((F.size("old_words") > 0) & (F.size("new_words") > 0), F.lit(1.0))
+    pairs = old.join(new, [*same, near]).withColumn("cosine", cosine).where(most(one) >= least)
+    pairs = pairs.withColumn("jaccard", jaccard).where(most(F.col("jaccard")) >= least)
+    likeness = sequence_likeness(least)("new_text", "old_text", "jaccard", "cosine")
     scored = pairs.withColumn("likeness", likeness).where(F.col("likeness").isNotNull())
     precious = F.lit(False)
     for p in ("old", "new"):

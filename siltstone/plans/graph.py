@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.model import AS_OF
 from siltstone.operators import graph, metrics
 from siltstone.plans.registry import query
+from siltstone.sources.scratch import written
 from siltstone.sources.views import view
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table written to the folder that spark.checkpoint.dir names, and reread; a temporary folder where it is unset."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query("""SELECT coalesce(n.source_id, l.source_id) AS source_id, coalesce(n.target_id, l.target_id) AS target_id,
   coalesce(n.relation_type, l.relation_type) AS relation_type, coalesce(n.weight, l.weight) AS weight
 FROM links l FULL JOIN (SELECT source_id, target_id + 1 - source_id % 2 AS target_id, relation_type, least(1, max(weight) * 2) AS weight

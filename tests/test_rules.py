@@ -243,3 +243,33 @@ def test_auto_supersessions_by_brute_force(spark):
     found = ingest.auto_supersessions(spark.createDataFrame(rows, names), vectors, review=0.4)
     assert {(r.old_id, r.new_id): (r.likeness, r.action) for r in found.collect()} == expected
     assert (5, 6) in expected and (0, 1) in expected
+
+
+def test_numbered_over_many_slices(spark):
+    """A group that fills all ranges, a small one, ties of the first key and repeated rows."""
+    from siltstone.sources.scratch import numbered
+
+    rows = [("hot", i % 7, i) for i in range(400)] + [("cold", 1, 5), ("cold", 1, 5), ("cold", 0, 9)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame(rows, "g string, day int, id int")
+        found = numbered(table, ["g"], [F.desc("day"), F.asc("id")]).collect()
+        none = numbered(table.where("false"), ["g"], [F.desc("day"), F.asc("id")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = []
+    for g in ("hot", "cold"):
+        ordered = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        expected += [(*r, n) for n, r in enumerate(ordered, 1)]
+    assert sorted(tuple(r) for r in found) == sorted(expected)
+    assert none == []
+
+
+def test_auto_supersessions_look_at_the_newest_before(spark):
+    """Equal texts meet their two newest predecessors only, whatever block they are in; without a project, none."""
+    rows = [(i, "note", "active", "g", "p", "t", "same text", 0.5, 0.0, NOW - dt.timedelta(i)) for i in range(9)]
+    rows += [(20 + i, "note", "active", "g", None, "t", "same text", 0.5, 0.0, NOW) for i in range(2)]
+    names = "id long, type string, status string, scope string, project_path string, title string, content string, importance double, feedback_score double, updated_at timestamp"
+    found = ingest.auto_supersessions(spark.createDataFrame(rows, names), newest=2).collect()
+    assert {(r.old_id, r.new_id) for r in found} == {(i + d, i) for i in range(9) for d in (1, 2) if i + d < 9}
+    assert len(found) == 15
