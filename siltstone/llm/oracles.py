@@ -108,6 +108,59 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id
   vec_id = least(vec_id, coalesce(low.b, vec_id)) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id"""
 
+def _assigned(name: str, books: str) -> str:
+    """A CTE (vec_id, label, part, p, entry, d): the nearest entry of each part, the lowest of equally near ones."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT vec_id, label, part, any_value(p) AS p, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+    SELECT v.vec_id, v.label, v.part, v.p, b.entry,
+      list_sum(list_transform(list_zip(v.p, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts v JOIN {books} b ON b.part = v.part)
+  GROUP BY vec_id, label, part)"""
+
+
+def _moved(name: str, assigned: str, books: str) -> str:
+    """A CTE (part, entry, e): each entry at the floor of its parts' mean, where it has any."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM {books} b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM (
+      SELECT part, entry, i, sum(p[i])::BIGINT AS s, count(*) AS n FROM {assigned}, range(1, 17) r(i) GROUP BY part, entry, i)
+    GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)"""
+
+
+OP11 = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, part, v[16 * part + 1:16 * part + 16] AS p FROM kept, range(0, 4) r(part)),
+b0 AS MATERIALIZED (SELECT part, p AS e, n - 1 AS entry FROM parts JOIN
+  (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM kept) USING (vec_id) WHERE n <= 256),
+{",".join(_assigned(f"a{i}", f"b{i}") + "," + _moved(f"b{i + 1}", f"a{i}", f"b{i}") for i in range(4))},
+{_assigned("a4", "b4")},
+coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM a4 GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b4) AS codebooks_sha256
+FROM coded"""
+
+TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+m AS (SELECT doc_id, t, 10 + (90 * len(t) * n) // l AS m FROM d, c WHERE len(t) > 0),
+tf AS MATERIALIZED (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(t) AS term FROM m) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, c GROUP BY term, n),
+i AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2,
     "op3_chat_formatting": OP3,
@@ -115,4 +168,6 @@ ORACLES: dict[str, str] = {
     "op6_mixing_sources": OP6,
     "op7_url_filters": OP7,
     "op10_embedding_near_dedup": OP10,
+    "op11_vector_codes": OP11,
+    "op12_ranked_search": OP12,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, mixing, pii, quality, tokens, toxicity
+from siltstone.llm import chat, codes, mixing, pii, quality, ranking, tokens, toxicity
 from siltstone.llm.common import Scratch
 from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.embeddings import near_embeddings
@@ -128,6 +128,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compressed(table(spark, sf_dir, "embeddings"), Scratch(spark, "op11"))
+    coded = coded.select("vec_id", "code", "error", "label_error")
+    return coded.withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op12"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -141,5 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_toxicity,
         op10_embedding_near_dedup,
+        op11_vector_codes,
+        op12_ranked_search,
     )
 }
