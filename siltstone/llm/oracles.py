@@ -161,6 +161,23 @@ s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
 FROM s WHERE score > 0 QUALIFY rank <= 10"""
 
+OP13 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, s, md5(substr(x, 2 * s + 1, 400)) AS m FROM d, range(0, length(x) // 2 - 199) t(s)),
+again AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+hits AS MATERIALIZED (SELECT r, s FROM w SEMI JOIN again USING (m)),
+edges AS (SELECT r, s, s > coalesce(lag(s) OVER p + 200, -1) AS fresh FROM hits WINDOW p AS (PARTITION BY r ORDER BY s)),
+runs AS (SELECT r, s, sum(fresh::INT) OVER (PARTITION BY r ORDER BY s) AS k FROM edges),
+spans AS (SELECT r, k, min(s) AS b, max(s) + 200 AS e FROM runs GROUP BY r, k),
+gaps AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS p FROM spans),
+cut AS (SELECT r, count(*) AS n_spans, sum(e - b)::BIGINT AS n_removed, max(e) AS last,
+    list(struct_pack(p := p, b := b) ORDER BY b) AS keep FROM gaps GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN x ELSE
+    array_to_string(list_transform(keep, lambda g: substr(x, 2 * g.p + 1, 2 * (g.b - g.p))), '')
+    || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2,
     "op3_chat_formatting": OP3,
@@ -170,4 +187,5 @@ ORACLES: dict[str, str] = {
     "op10_embedding_near_dedup": OP10,
     "op11_vector_codes": OP11,
     "op12_ranked_search": OP12,
+    "op13_repeated_passages": OP13,
 }

@@ -13,6 +13,7 @@ from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.embeddings import near_embeddings
 from siltstone.llm.labels import fold
 from siltstone.llm.minhash import near_duplicates
+from siltstone.llm.repeats import repeated_bytes
 from siltstone.llm.urls import host_and_path, judge_pages
 
 
@@ -138,6 +139,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op12"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -153,5 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_embedding_near_dedup,
         op11_vector_codes,
         op12_ranked_search,
+        op13_repeated_passages,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import codes, ranking
+from siltstone.llm import codes, ranking, repeats, suffixes
 from siltstone.llm.common import Scratch
 
 
@@ -110,3 +111,89 @@ def test_ranks_equal_brute_force(spark, scratch, monkeypatch, repeats, sizes):
     got = {tuple(r) for r in ranking.ranked(table, asked, scratch, 10, repeats).collect()}
     assert got == brute_ranks(docs, items, 10, repeats)
     assert ranking.ranked(table.limit(0), asked, scratch).count() == 0 and ranking.ranked(table, asked.limit(0), scratch).count() == 0
+
+
+def test_suffix_arrays_and_common_prefixes():
+    rng = np.random.default_rng(1)
+    for t in range(120):
+        n = int(rng.integers(1, 80))
+        x = rng.integers(0, 1 + t % 4, n).astype(np.uint8) if t % 2 else np.tile(rng.integers(0, 3, 7).astype(np.uint8), 12)[:n]
+        raw = x.tobytes()
+        order = sorted(range(n), key=lambda i: raw[i:])
+        shared = [next((c for c in range(n) if raw[i + c : i + c + 1] != raw[j + c : j + c + 1] or i + c == n), 0) for i, j in zip(order[1:], order)]
+        assert suffixes.suffix_array(x).tolist() == order
+        assert suffixes.common_prefixes(x, np.array(order)).tolist() == [0, *shared]
+
+
+def brute_repeats(texts, length):
+    raws = [(t or "").encode() for t in texts]
+    n = Counter(r[s : s + length] for r in raws for s in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r) + 2, dtype=bool)
+        for s in range(len(r) - length + 1):
+            if n[r[s : s + length]] > 1:
+                gone[s + 1 : s + 1 + length] = True
+        kept = bytes(b for b, g in zip(r, gone[1:]) if not g)
+        out.append((len(r), int(gone.sum()), int((np.diff(gone.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def corpus(seed, n=60):
+    """Unlike texts around passages that some of them share, edited copies, and texts of few different letters."""
+    rng = np.random.default_rng(seed)
+    some = lambda k, abc="abcdefgh é東": "".join(abc[j] for j in rng.integers(0, len(abc), k))
+    passages = [some(k) for k in (19, 20, 21, 33, 60, 150)]
+    out = []
+    for i in range(n):
+        out.append(some(int(rng.integers(0, 40))) + passages[int(rng.integers(0, 6))] + some(int(rng.integers(0, 40))))
+        if i % 5 == 0:
+            at = int(rng.integers(0, len(out[-1])))
+            out.append(out[-1][:at] + some(2) + out[-1][at + 1 :])
+    return [*out, "a" * 90, "ab" * 40, "ab" * 9 + "a", "ab" * 10, None, "", "x", out[0], out[0], some(300, "xy")]
+
+
+@pytest.mark.parametrize("group, shard, piece", [(1000, 1 << 20, 4 << 20), (1, 1 << 20, 64), (3, 300, 30), (1000, 200, 4 << 20), (5, 90, 45)])
+def test_repeats_equal_brute_force(spark, scratch, monkeypatch, group, shard, piece):
+    """Hot keys that are split, keys that lie in several shards, long texts in pieces; ties, copies, nulls, letters of
+    several bytes."""
+    for name, value in (("GROUP", group), ("SHARD", shard), ("PIECE", piece)):
+        monkeypatch.setattr(repeats, name, value)
+    texts = corpus(group + shard)
+    ids = [i if i % 9 else None for i in range(len(texts) - 1)] + [3]
+    rows = list(zip(ids, texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("HASH", F.lit("x")).withColumn("n", F.lit(1)).repartition(4)
+    got = Counter(tuple(r) for r in repeats.repeated_bytes(docs, scratch, 20).collect())
+    assert got == Counter((i, *b) for i, b in zip(ids, brute_repeats(texts, 20)))
+    assert repeats.repeated_bytes(docs.limit(0), scratch, 20).count() == 0
+
+
+def test_texts_without_repeats(spark, scratch):
+    same = "the very same sentence, over and over, of more than forty bytes"
+    docs = spark.createDataFrame([(1, "a " + same), (2, same + " b"), (3, None), (4, "short")], "doc_id long, text string").withColumn("Found", F.lit(1))
+    out = repeats.without_repeats(docs, scratch, 40)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: "a ", 2: " b", 3: None, 4: "short"}
+
+
+def test_a_hot_passage_is_gathered_nowhere(spark, scratch, monkeypatch):
+    """Of texts that share a line, those that reach a shard stay few."""
+    monkeypatch.setattr(repeats, "GROUP", 8)
+    seen = spark.sparkContext.accumulator(0)
+    plain = repeats._searched
+
+    def counted(length):
+        def run(batches):
+            def told():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+            yield from plain(length)(told())
+        return run
+
+    monkeypatch.setattr(repeats, "_searched", counted)
+    rng = np.random.default_rng(4)
+    line = "a line that is in every text, shorter than a window"
+    texts = [hashlib.sha256(rng.bytes(8)).hexdigest() + line + hashlib.sha256(rng.bytes(8)).hexdigest() for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeats.repeated_bytes(docs, scratch, 60)
+    assert {r.n_removed for r in got.collect()} == {0} and seen.value < 40
