@@ -18,7 +18,7 @@ from siltstone.llm.suffixes import Shard, merged
 #: Bytes of a window.
 LENGTH = 200
 #: Bytes of a text that are hashed together, bytes of a shard, and different texts of one key that may share a task.
-PIECE, SHARD, GROUP = 4 << 20, 1 << 20, 1000
+PIECE, SHARD, GROUP = 4 << 20, 1 << 20, 400
 
 _PLACE = np.uint64((1 << 24) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -47,10 +47,10 @@ def stretches(parts: list[bytes], length: int) -> list[np.ndarray]:
     """The windows of ``length`` bytes of each text, in stretches that share their least inner string: arrays of text,
     start, number of windows, places of that string from the start, its hash, and the hash of the whole stretch.
 
-    The inner strings have about a third of a window's bytes; of those in a window the one with the least hash is
+    The inner strings have about a sixth of a window's bytes; of those in a window the one with the least hash is
     taken, the first of equal ones. So equal windows, wherever they stand, have equal inner strings at equal places.
     """
-    core = max(1, length * 8 // 25)
+    core = max(1, length * 4 // 25)
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     n = len(data)
@@ -219,6 +219,9 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
        a few hundred bytes, of which each shares its key with at least one different text.
     3. They meet in shards by key. A suffix array of the shard and its common prefixes tell which windows are repeated;
        where a key's texts lie in two shards, the sorted windows of both are merged by binary search.
+    Joins with what grows with the corpus shuffle at every size; only the places of step 3's texts are broadcast while they
+    are few.
+
     4. A key with more than GROUP different texts is split by longer strings first, as often as needed (``_split``), so
        that no task gathers a hot key.
     """
@@ -227,7 +230,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     )
     found = scratch.save(given, "stretches")
     again = scratch.save(found.groupBy("key").count().where("count > 1").select("key"), "again")
-    shared = scratch.save(found.join(small(again), "key", "left_semi"), "shared")
+    shared = scratch.save(found.join(again, "key", "left_semi"), "shared")
     scratch.drop(found)
     at = F.min(F.struct("id", "hash", "start", "windows", "ahead")).alias("at")
     kinds = scratch.save(shared.groupBy("key", "digest").agg(F.count("*").alias("n"), at), "kinds")
@@ -248,7 +251,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     whole = docs.select("id", "hash", F.col("text").cast("binary").alias("bytes"))
     items = whole.join(small(by_text, size=F.size("wanted") * 64 + 32), ["id", "hash"])
     items = items.select("id", "hash", F.explode(cut).alias("c")).select("id", "hash", "c.w.*", "c.text")
-    core = max(1, length * 8 // 25)
+    core = max(1, length * 4 // 25)
     items = items.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(length - core).cast("long")}).select(*_ITEM)
     items = scratch.save(items.dropDuplicates(["key", "digest"]), "items")
 
@@ -287,7 +290,7 @@ def _with_spans(docs: DataFrame, scratch: Scratch, length: int) -> tuple[DataFra
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), digest: F.xxhash64(text)})
     places = repeated_windows(keyed.select(F.col(key).alias("id"), F.col(digest).alias("hash"), text.alias("text")), scratch, length)
     by_text = places.groupBy(F.col("id").alias(key), F.col("hash").alias(digest)).agg(F.collect_list(F.struct("first", "last")).alias(found))
-    by_text = small(scratch.save(by_text, "by_text"), size=F.size(found) * 16 + 32)
+    by_text = scratch.save(by_text, "by_text")
     return keyed.join(by_text, [key, digest], "left").drop(key, digest), found
 
 
@@ -324,7 +327,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     it tears goes too. Null texts stay null; other columns stay as they are."""
     marked, found = _with_spans(docs, scratch, length)
 
-    def kept(raw: bytes, found: list) -> str | None:
+    def kept(raw, found):
         out, at = [], 0
         for s, e in _spans([(f["first"], f["last"]) for f in found or ()], length):
             out.append(raw[at:s])
