@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.scores import days_before
 from siltstone.model import AS_OF
 from siltstone.operators import curation, maintenance
 from siltstone.plans.registry import query
+from siltstone.plans.search import vector_index
 from siltstone.sources.views import view
 
 KEY = "substr(array_to_string(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+'), ' '), 1, 120)"
@@ -192,9 +193,8 @@ pairs AS (SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 6) AS
 PAIRS_WHOLE = PAIRS.replace("a.label = b.label AND ", "")
 
 
-def _pairs(spark: SparkSession, sf_dir: str, block: Column | None = None) -> DataFrame:
-    block = F.col("label") if block is None else block
-    vectors = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), block.alias("block"), "embedding")
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), "embedding")
     return curation.similar_pairs(curation.units(vectors), 0.25)
 
 
@@ -205,7 +205,8 @@ def similarity_pairs_in_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS_WHOLE} SELECT * FROM pairs")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, F.lit(0)).withColumn("score", F.round("score", 6))
+    """By the written index: a vector visits the cells that can hold one of its nearest."""
+    return vector_index(spark, sf_dir).pairs(0.25).withColumn("score", F.round("score", 6))
 
 
 CANDIDATES = """r AS (SELECT DISTINCT memory_id AS id FROM feedback WHERE created_at >= TIMESTAMP '2024-01-29 00:00:00'),
@@ -221,7 +222,7 @@ def link_candidates_in_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS_WHOLE}, {CANDIDATES}")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir, _pairs(spark, sf_dir, F.lit(0)))
+    return _candidates(spark, sf_dir, vector_index(spark, sf_dir).pairs(0.25))
 
 
 def _candidates(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:

@@ -24,3 +24,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def query_like(name: str) -> Callable[[Query], Query]:
+    """Registers another way to the rows of a query that is registered already, with the same SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = ORACLES[name]
+        return f
+
+    return add

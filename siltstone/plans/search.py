@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.model import AS_OF
 from siltstone.operators import retrieval, search
-from siltstone.plans.registry import query
+from siltstone.operators.trigram_index import TrigramIndex
+from siltstone.operators.vector_index import VectorIndex
+from siltstone.plans.registry import query, query_like
+from siltstone.sources.persisted import persisted
 from siltstone.sources.views import view
 
 QUERY = "leaux enaux"
@@ -129,6 +132,41 @@ def vector_segment_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("score", 6).alias("score"))
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The written index of the vectors; its bounds hold for all of them."""
+    path = persisted(spark, "vector-index", [f"{sf_dir}/embeddings.parquet"], lambda p: VectorIndex.build(vectors(spark, sf_dir), p))
+    return VectorIndex(spark, path)
+
+
+def trigram_index(spark: SparkSession, sf_dir: str) -> TrigramIndex:
+    path = persisted(spark, "trigram-index", [f"{sf_dir}/documents.parquet"], lambda p: TrigramIndex.build(view(spark, sf_dir, "memories"), p))
+    return TrigramIndex(spark, path)
+
+
+@query_like("vector_topk")
+def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_index(spark, sf_dir).nearest(seed_vector(spark, sf_dir), 10)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@query_like("vector_topk_filtered")
+def vector_topk_filtered_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_index(spark, sf_dir).nearest(seed_vector(spark, sf_dir), 25, 0.05, F.col("label").isin(1, 3, 5))
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@query_like("lexical_search_ranked")
+def lexical_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trigram_index(spark, sf_dir).ranked(QUERY)
+    return found.select("id", "title", F.round("rank_score", 6).alias("rank_score"))
+
+
+@query_like("keyword_relaxed_scan")
+def keyword_relaxed_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trigram_index(spark, sf_dir).relaxed(TASK)
+    return found.select("id", F.round("lexical", 6).alias("lexical"))
+
+
 def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "memories").join(vectors(spark, sf_dir).drop("label"), "id", "left")
 
@@ -152,6 +190,12 @@ def text_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("score", 6).alias("score"))
 
 
+@query_like("text_only_search")
+def text_only_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trigram_index(spark, sf_dir).hybrid(QUERY)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 ENTITIES = """raw AS (SELECT id, unnest(list_concat(
     regexp_extract_all(content, 'https?://[^\\s)''"<>]+'),
     regexp_extract_all(content, '(?:^|[^A-Za-z0-9_])(/(?:[A-Za-z0-9_.@+-]+/)*[A-Za-z0-9_.@+-]+)', 1),
