@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from siltstone.functions import text, vector
 from siltstone.model import DEDUP, DEDUP_OTHER
@@ -195,6 +195,54 @@ def distinct_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda t: sorted(set(WORDS.findall(t))))
 
 
+#: Characters of the strings that bound what two texts have in common, and the length from which difflib passes over
+#: frequent characters: a fixed value of its.
+GRAM, LONG = 8, 200
+
+
+@F.pandas_udf(StructType([StructField("grams", ArrayType(IntegerType())), StructField("merged", IntegerType()), StructField("rare", IntegerType())]))
+def matching_bound(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """What bounds the characters that difflib can match of each text: its strings of GRAM characters, repeats numbered,
+    as hashes; how many of these fell together; and how many of its characters are rare (null below LONG)."""
+    for part in parts:
+        yield pd.DataFrame([_bound_of(t) for t in part], columns=["grams", "merged", "rare"]).astype({"rare": "Int32"})
+
+
+def _bound_of(text: str) -> tuple[list[int], int, int | None]:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n, rare = len(codes), None
+    if n >= LONG:
+        counts = np.unique(codes, return_counts=True)[1]
+        rare = int(counts[counts <= n // 100 + 1].sum())
+    if n < GRAM:
+        return [], 0, rare
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    h = np.zeros(n - GRAM + 1, dtype=np.uint64)
+    for j in range(GRAM):
+        h = (h ^ (h >> np.uint64(29))) * odd + codes[j : n - GRAM + 1 + j]
+    h = np.sort(h)
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    h = (h + nth.astype(np.uint64)) * odd
+    kept = np.unique(((h ^ (h >> np.uint64(31))) * odd >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return kept.tolist(), len(h) - len(kept), rare
+
+
+def ratio_bound(new: str, old: str) -> Column:
+    """The most that difflib's ratio of ``{new}_text`` and ``{old}_text`` can be, from their lengths and ``{p}_bound``.
+
+    It matches blocks in order. From LONG characters on, a block must hold a character that is rare in the older text,
+    but for one at the very start, so there are at most rare + 1. Each block of n characters has n - GRAM + 1 strings of
+    GRAM characters, which both texts hold; so all blocks have at most as many characters as the texts have such
+    strings in common, and GRAM - 1 more for each block.
+    """
+    a, b = F.length(f"{new}_text"), F.length(f"{old}_text")
+    common = F.size(F.array_intersect(f"{new}_bound.grams", f"{old}_bound.grams")) + F.col(f"{new}_bound.merged")
+    most = F.when(F.col(f"{old}_bound.rare").isNotNull(), common + (F.col(f"{old}_bound.rare") + 1) * (GRAM - 1))
+    matched = F.least(a, b, most)
+    return F.coalesce(F.try_divide(2.0 * matched, a + b), F.lit(1.0))
+
+
 def sequence_likeness(least: float) -> Callable[..., Column]:
     """A function of two whole texts, their words' Jaccard and their vectors' cosine, or nulls: see ``_likeness``; null
     below ``least``."""
@@ -231,13 +279,14 @@ def auto_supersessions(
     scope or project is compared with none.
 
     Records are numbered by ranges and meet by blocks of ``newest`` numbers: a record joins its own block and the next,
-    whatever the size of its group. Python gets the pairs that lengths, words and cosine leave a chance.
+    whatever the size of its group. Exact bounds are computed in the JVM for all pairs, by lengths, then words, then common
+    strings (``ratio_bound``); Python gets the pairs that these leave a chance.
     """
     least, group = min(auto, review), ["type", "scope", "project_path"]
     whole = F.lower(F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))))
     active = memories.where("status = 'active'").dropna(subset=group)
     active = active.select("id", *group, "importance", "feedback_score", "updated_at", whole.alias("text"))
-    active = active.withColumn("words", distinct_words("text"))
+    active = active.withColumn("words", distinct_words("text")).withColumn("bound", matching_bound("text"))
     if vectors is None:
         active = active.withColumn("unit", F.lit(None).cast("array<double>"))
     else:
@@ -253,15 +302,17 @@ def auto_supersessions(
     cosine = F.when(F.col("old_unit").isNotNull() & F.col("new_unit").isNotNull(), vector.dot(F.col("old_unit"), F.col("new_unit")))
     old_size, new_size = F.length("old_text"), F.length("new_text")
 
-    def most(words: Column) -> Column:
-        """The most that two texts of these lengths can reach, and a little more for roundings."""
-        ratio = F.coalesce(F.try_divide(2 * F.least(old_size, new_size), old_size + new_size), F.lit(1.0))
+    lengths = F.coalesce(F.try_divide(2 * F.least(old_size, new_size), old_size + new_size), F.lit(1.0))
+
+    def most(words: Column, ratio: Column = lengths) -> Column:
+        """The most that two texts with this bound on their ratio can reach, and a little more for roundings."""
         out = F.when(words.isNull(), ratio).otherwise(ratio * 0.65 + words * 0.35)
         return F.when(F.col("cosine").isNull(), out).otherwise(F.col("cosine") * 0.6 + out * 0.4) + 0.001
 
     one = F.when((F.size("old_words") > 0) & (F.size("new_words") > 0), F.lit(1.0))
     pairs = old.join(new, [*same, near]).withColumn("cosine", cosine).where(most(one) >= least)
     pairs = pairs.withColumn("jaccard", jaccard).where(most(F.col("jaccard")) >= least)
+    pairs = pairs.where(most(F.col("jaccard"), ratio_bound("new", "old")) >= least)
     likeness = sequence_likeness(least)("new_text", "old_text", "jaccard", "cosine")
     scored = pairs.withColumn("likeness", likeness).where(F.col("likeness").isNotNull())
     precious = F.lit(False)

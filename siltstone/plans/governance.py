@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.model import AS_OF, TRANSITIONS
-from siltstone.operators import governance
+from siltstone.operators import commits, governance
 from siltstone.plans.registry import query
+from siltstone.sources.scratch import shared_folder
+from siltstone.sources.versions import VersionedTable
 from siltstone.sources.views import view
 
 SQL_WORD = "regexp_matches(action, '\\b(SELECT|UPDATE|INSERT|DELETE|DROP|ALTER|CREATE|TRUNCATE|EXEC|EXECUTE)\\b', 'i')"
@@ -199,3 +203,62 @@ def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decision_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = governance.numbered_page(view(spark, sf_dir, "decisions"), [F.desc("created_at"), F.col("id")], 40, 20)
     return found.select("id", "review_status", "has_more")
+
+
+def _versioned(spark: SparkSession, rows: DataFrame, name: str) -> VersionedTable:
+    return VersionedTable.create(rows, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", buckets=16)
+
+
+def _of_status(rows: DataFrame, status: str) -> DataFrame:
+    return rows.select("id", F.lit(status).alias("status"))
+
+
+@query("""SELECT id, type, CASE WHEN status = 'stale' AND importance < 0.3 THEN 'archived' ELSE status END AS status FROM memories""")
+def versioned_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stale records of little weight are archived by a plan. A second plan on the same version is refused."""
+    memories = view(spark, sf_dir, "memories").select("id", "type", "status", "importance")
+    table = _versioned(spark, memories, "versioned")
+    stale = memories.where("status = 'stale'")
+    first = commits.plan(table, _of_status(stale.where("importance < 0.3"), "archived"), "clean")
+    second = commits.plan(table, _of_status(stale, "contradicted"), "expire")
+    commits.execute(table, first)
+    commits.execute(table, second)
+    return table.read().select("id", "type", "status")
+
+
+@query("""SELECT id, CASE WHEN type = 'feedback' THEN 'archived' ELSE status END AS status FROM memories""")
+def versioned_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two executions, the first of which is undone by its inverses; what the second did stays."""
+    memories = view(spark, sf_dir, "memories").select("id", "type", "status")
+    table = _versioned(spark, memories, "rollback")
+    first = commits.execute(table, commits.plan(table, _of_status(memories.where("type = 'decision' AND status = 'active'"), "stale"), "expire"))
+    commits.execute(table, commits.plan(table, _of_status(memories.where("type = 'feedback'"), "archived"), "clean"))
+    commits.rollback(table, first["version"])
+    return table.read().select("id", "status")
+
+
+BLOCKED = """confidence < 0.45 AND action IN ('archive_duplicate', 'archive', 'archive_and_merge_duplicate', 'mark_contradicted', 'supersede',
+  'promote', 'downgrade')"""
+
+
+@query(f"""SELECT CASE WHEN review_status = 'applied' THEN 'already_applied' WHEN {BLOCKED} THEN 'skipped' ELSE 'apply' END AS outcome,
+  action, count(*) AS n FROM decisions WHERE review_status IN ('applied', 'needs_review', 'auto_approved') GROUP BY ALL""")
+def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = view(spark, sf_dir, "decisions")
+    asked = d.where("review_status in ('applied', 'needs_review', 'auto_approved')")
+    return commits.batch_outcomes(d, asked).groupBy("outcome", "action").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH w AS (SELECT CASE WHEN action = 'mark_contradicted' THEN first_id ELSE second_id END AS id, id AS of,
+    CASE WHEN action IN ('archive_duplicate', 'archive', 'archive_and_merge_duplicate') THEN 'archived'
+      WHEN action = 'mark_contradicted' THEN 'contradicted' WHEN action = 'supersede' THEN 'superseded' END AS status
+  FROM decisions WHERE review_status = 'auto_approved' AND NOT ({BLOCKED})),
+l AS (SELECT id, arg_max(status, of) AS status FROM w WHERE status IS NOT NULL GROUP BY id)
+SELECT m.id, coalesce(l.status, m.status) AS status FROM memories m LEFT JOIN l ON l.id = m.id""")
+def batch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All approved decisions as one version of the records."""
+    d = view(spark, sf_dir, "decisions")
+    memories = _versioned(spark, view(spark, sf_dir, "memories").select("id", "status"), "batch")
+    decisions = _versioned(spark, d.select("id", "action", "risk_level", "confidence", "review_status", "first_id", "second_id"), "decisions")
+    commits.apply_batch(memories, decisions, d.where("review_status = 'auto_approved'"))
+    return memories.read().select("id", "status")

@@ -273,3 +273,25 @@ def test_auto_supersessions_look_at_the_newest_before(spark):
     found = ingest.auto_supersessions(spark.createDataFrame(rows, names), newest=2).collect()
     assert {(r.old_id, r.new_id) for r in found} == {(i + d, i) for i in range(9) for d in (1, 2) if i + d < 9}
     assert len(found) == 15
+
+
+def test_the_ratio_stays_below_its_bound(spark):
+    """Long and short texts, edited copies, few and many letters; unlike long texts are ruled out."""
+    from difflib import SequenceMatcher
+
+    draw = random.Random(8)
+    some = lambda n, letters: "".join(draw.choice(letters) for _ in range(n))
+    plain, pairs = "abcdefghijklmnopqrstuvwxyz     eeeeaaaoootttnnn", []
+    for i in range(60):
+        a = some(draw.randrange(0, 900), plain if i % 3 else "ab")
+        cut = draw.randrange(0, len(a) + 1)
+        b = [a[:cut] + some(5, plain) + a[cut:], a[cut:] + a[:cut], some(len(a), plain), a.replace("a", "x"), "x" * 10 + a, a[:cut]][i % 6]
+        pairs += [(a, b), (b, a)]
+    pairs += [("", ""), ("", "a"), ("a" * 300, "a" * 300), ("é東" * 150, "é東" * 149)]
+    table = spark.createDataFrame(pairs, "new_text string, old_text string")
+    table = table.withColumn("new_bound", ingest.matching_bound("new_text")).withColumn("old_bound", ingest.matching_bound("old_text"))
+    rows = table.withColumn("most", ingest.ratio_bound("new", "old")).collect()
+    for r in rows:
+        assert SequenceMatcher(None, r.new_text, r.old_text).ratio() <= r.most + 1e-12
+    unlike = [r.most for r in rows if len(r.new_text) > 400 and len(r.old_text) > 400 and len(set(r.new_text)) > 5 and len(set(r.old_text)) > 5]
+    assert min(unlike) < 0.7
