@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from siltstone.functions.scores import age_days, days_before, instant
+from siltstone.sources.scratch import broadcast_if_small, written
+
+#: Agents of a block that a broadcast message meets.
+AGENTS = 50_000
 
 
 def presence(status: Column, seen: Column, as_of: str, idle_hours: float = 24.0, offline_days: float = 7.0) -> Column:
@@ -22,10 +30,14 @@ def inbox(messages: DataFrame, receivers: Column, as_of: str) -> DataFrame:
 
 
 def fanned_out(messages: DataFrame, online: DataFrame) -> DataFrame:
-    """(message_id, agent_id): a broadcast goes to every agent online but its sender. Only broadcasts are multiplied, and
-    the agents, a bounded list, are broadcast to them."""
-    wide = messages.where("receiver is null").select("message_id", "sender")
-    return wide.join(F.broadcast(online.select("agent_id")), F.col("sender") != F.col("agent_id")).select("message_id", "agent_id")
+    """(message_id, agent_id): a broadcast goes to every agent online but its sender. Only broadcasts are multiplied.
+
+    Agents are dealt to blocks of AGENTS by a hash, and each message goes to every block, so the two meet by an
+    equi-join whose tasks hold a block at most."""
+    blocks = max(1, -(-online.count() // AGENTS))
+    wide = messages.where("receiver is null").select("message_id", "sender", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    there = online.select("agent_id", F.pmod(F.xxhash64("agent_id"), F.lit(blocks)).cast("int").alias("block"))
+    return wide.join(there, "block").where("sender <> agent_id").select("message_id", "agent_id")
 
 
 def routed(tasks: DataFrame, agents: DataFrame, capabilities: DataFrame) -> DataFrame:
@@ -76,14 +88,37 @@ def value_tokens(value: Column) -> Column:
 
 def conflicts(memories: DataFrame, profile: DataFrame, least: float = 0.8) -> DataFrame:
     """(id, attribute, value): profile records that name an attribute (attribute, value, confidence) but none of its
-    value's tokens. Attributes are few and broadcast; records are not multiplied beyond those that name one."""
+    value's tokens; ids are unique, and an empty attribute is named by none.
+
+    Each attribute is looked up by its rarest string of up to three characters (the one that fewest records have), so
+    records and attributes meet by an equi-join, whatever their numbers, and what meets is checked as a whole."""
     sure = profile.where((F.col("confidence") >= least) & (F.length("value").between(1, 200)))
     sure = sure.withColumn("tokens", value_tokens(F.col("value"))).where("size(tokens) > 0")
     told = memories.where("type = 'user_profile'").select("id", F.lower(F.concat_ws("\n", "title", "content")).alias("said"))
-    named = told.join(F.broadcast(sure), F.contains("said", F.lower("attribute")))
+    sure = written(sure.where("attribute <> ''").withColumn("nth", F.monotonically_increasing_id()), "attributes")
+    own = sure.select("nth", F.explode(short_strings(F.lower("attribute"), F.lit(True))).alias("part"))
+    asked = broadcast_if_small(written(own.select("part").distinct(), "parts"))
+    told = written(told, "told")
+    held = told.select("id", F.explode(short_strings(F.col("said"), F.lit(False))).alias("part")).join(asked, "part", "left_semi")
+    held = written(held, "held")
+    often = held.groupBy("part").agg(F.count("*").alias("n"))
+    key = own.join(often, "part", "left").groupBy("nth").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part"))["part"].alias("part"))
+    met = held.join(key, "part").select("id", "nth").join(sure, "nth").join(told, "id")
+    named = met.where(F.contains("said", F.lower("attribute")))
     return named.where(F.forall("tokens", lambda t: ~F.contains(F.col("said"), t))).select("id", "attribute", "value")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def short_strings(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The distinct strings of three characters of each text; or, where the second column doesn't hold, of one to three. A
+    name shorter than three is one itself."""
+    for text, longest in parts:
+        yield pd.Series(
+            [sorted({t[i : i + n] for n in ((min(3, len(t)),) if only else (1, 2, 3)) for i in range(len(t) - n + 1)} - {""}) for t, only in zip(text, longest)],
+            dtype=object,
+        )
+
+
 def coverage(profile: DataFrame) -> DataFrame:
     """How much of each user's profile is filled, how surely, and how much of it is locked."""
     return profile.groupBy("user_id").agg(
@@ -96,7 +131,12 @@ def coverage(profile: DataFrame) -> DataFrame:
 
 
 def resolved_project(records: DataFrame, projects: DataFrame) -> DataFrame:
-    """``records`` (path) with the first project (name, root, place) that the path is in. Projects are a short list."""
-    inside = (F.col("path") == F.col("root")) | F.startswith("path", F.concat("root", F.lit("/")))
-    both = records.join(F.broadcast(projects), inside, "left")
-    return both.groupBy(*records.columns).agg(F.min_by("name", "place").alias("project"))
+    """``records`` (path and more) with ``project``: the first project (name, root, place) that the path is in; null where
+    there is none. Every record stays, repeated ones too. Different paths meet the roots by their own leading parts, an
+    equi-join."""
+    parts = F.split("path", "/")
+    leading = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    paths = records.select("path").where("path is not null").distinct()
+    found = paths.withColumn("root", F.explode(F.array_distinct(leading))).join(projects, "root")
+    first = found.groupBy("path").agg(F.min_by("name", F.struct("place", "name")).alias("project"))
+    return records.join(broadcast_if_small(written(first, "projects")), "path", "left").select(*records.columns, "project")

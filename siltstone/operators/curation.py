@@ -131,11 +131,13 @@ def duplicate_titles(memories: DataFrame) -> DataFrame:
 
 
 def supersessions(memories: DataFrame) -> DataFrame:
-    """(old_id, new_id, review_required): active records whose key, type, scope and project a newer one has."""
-    same = Window.partitionBy("title_key", "type", "scope", "project_path").orderBy(
-        F.desc(F.coalesce("updated_at", "created_at")), "id"
-    )
-    active = keyed(memories.where("status = 'active'")).withColumn("new_id", F.first("id").over(same))
+    """(old_id, new_id, review_required): active records whose key, type, scope and project a newer one has. The newest
+    of each is found by an aggregate and joined back, so a key that many records share is no task of its own."""
+    group = ["title_key", "type", "scope", "project_path"]
+    active = keyed(memories.where("status = 'active'"))
+    newest = F.max_by("id", F.struct(F.coalesce("updated_at", "created_at"), -F.col("id"))).alias("new_id")
+    heads = active.groupBy(*(F.col(c).alias(f"of_{c}") for c in group)).agg(newest)
+    active = active.join(heads, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group])
     review = F.col("type").isin(*PRECIOUS) | (F.coalesce("importance", F.lit(0.0)) >= 0.7)
     return active.where("id <> new_id").select(F.col("id").alias("old_id"), "new_id", review.alias("review_required"))
 

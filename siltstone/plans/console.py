@@ -175,15 +175,14 @@ def systemd_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT conv_id * 1000 + turn AS message_id, string_agg(trim(part), chr(10) ORDER BY place) AS text FROM (
-    SELECT conv_id, turn, unnest(range(1, 4)) AS place, string_split(text, '. ') AS parts, parts[place] AS part FROM conversations WHERE turn % 4 < 3)
+    SELECT conv_id, turn, unnest(range(1, len(string_split(text, '. ')) + 1)) AS place, string_split(text, '. ') AS parts, parts[place] AS part FROM conversations)
   WHERE part IS NOT NULL AND trim(part) <> '' GROUP BY 1)
 SELECT conv_id AS session, conv_id * 1000 + turn AS message_id, role, coalesce(p.text, '') AS text FROM conversations c
   LEFT JOIN p ON p.message_id = c.conv_id * 1000 + c.turn""")
 def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three sentences of most turns as parts of messages."""
+    """The sentences of all turns as parts of messages."""
     turns = view(spark, sf_dir, "conversations").withColumn("message_id", F.expr("conv_id * 1000 + turn"))
-    some = turns.where("turn % 4 < 3")
-    parts = some.select("message_id", F.posexplode(F.slice(F.split("text", r"\. "), 1, 3)).alias("place", "text"), F.lit("text").alias("type"))
+    parts = turns.select("message_id", F.posexplode(F.split("text", r"\. ")).alias("place", "text"), F.lit("text").alias("type"))
     return console.transcripts(turns.withColumnRenamed("conv_id", "session"), parts)
 
 

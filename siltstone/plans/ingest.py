@@ -129,13 +129,14 @@ def batch_greedy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.greedy_of_batch(facts, 0.35)
 
 
-@query("""WITH a AS (SELECT id, lower(trim(title)) AS k, effectiveness_score, updated_at FROM memories WHERE status = 'active'),
-f AS (SELECT id, lower(trim(title)) AS k FROM memories WHERE status <> 'active')
-SELECT f.id AS fact_id, a.id AS memory_id FROM f JOIN a ON a.k = f.k
+@query("""WITH a AS (SELECT id, project_path AS t, lower(trim(title)) AS k, effectiveness_score, updated_at FROM memories WHERE status = 'active'),
+f AS (SELECT id, project_path AS t, lower(trim(title)) AS k FROM memories WHERE status <> 'active')
+SELECT f.id AS fact_id, a.id AS memory_id FROM f JOIN a ON a.k = f.k AND a.t = f.t
 QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY effectiveness_score DESC, updated_at DESC, a.id) = 1""")
 def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that aren't active stand for new facts. One type is taken for all, because copies differ in it here."""
-    memories = view(spark, sf_dir, "memories").withColumn("type", F.lit("decision"))
+    """Records that aren't active stand for new facts. Their project stands for the type, because copies differ in type
+    here."""
+    memories = view(spark, sf_dir, "memories").withColumn("type", F.col("project_path"))
     facts = memories.where("status <> 'active'").select("id", "type", "title")
     return ingest.title_matches(facts, memories)
 

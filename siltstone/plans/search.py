@@ -197,11 +197,13 @@ def text_only_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTITIES = """raw AS (SELECT id, unnest(list_concat(
-    regexp_extract_all(content, 'https?://[^\\s)''"<>]+'),
-    regexp_extract_all(content, '(?:^|[^A-Za-z0-9_])(/(?:[A-Za-z0-9_.@+-]+/)*[A-Za-z0-9_.@+-]+)', 1),
-    regexp_extract_all(content, '(?i)\\b[A-Za-z0-9_.-]+\\.(?:sqlite3?|ya?ml|toml|json|db|py|md)\\b'),
-    regexp_extract_all(content, '(?i)(?::|port\\s+|端口\\s*)([0-9]{2,5})\\b', 1),
-    regexp_extract_all(content, '(?i)\\b(?:memory\\.sqlite3|qdrant|ollama|nomic-embed-text|openmemory|mem0|mcp|fts5)\\b'),
+    regexp_extract_all(content, 'https?://[^\\s\\p{Z})''"<>]+'),
+    regexp_extract_all(content, '(?:^|[^\\p{L}\\p{N}_])(/(?:[\\p{L}\\p{N}_.@+-]+/)*[\\p{L}\\p{N}_.@+-]+)', 1),
+    list_filter(list_transform(regexp_extract_all(content, '[\\p{L}\\p{N}_.-]+'),
+      lambda w: regexp_extract(w, '(?i)^[.-]*([\\p{L}\\p{N}_][\\p{L}\\p{N}_.-]*\\.(?:sqlite3?|ya?ml|toml|json|db|py|md))(?:[.-]|$)', 1)), lambda w: w <> ''),
+    list_filter(regexp_extract_all(content, '(?i)(?::|port[\\s\\p{Z}]+|端口[\\s\\p{Z}]*)([\\p{L}\\p{N}_]+)', 1), lambda w: regexp_full_match(w, '\\p{Nd}{2,5}')),
+    list_filter(regexp_extract_all(content, '[\\p{L}\\p{N}_]+'), lambda w: lower(w) IN ('qdrant', 'ollama', 'openmemory', 'mem0', 'mcp', 'fts5')),
+    regexp_extract_all(content, '(?i)(?:^|[^\\p{L}\\p{N}_])(memory\\.sqlite3|nomic-embed-text)(?:[^\\p{L}\\p{N}_]|$)', 1),
     list_filter(tags, lambda t: NOT regexp_matches(trim(t), '(?i)^(extracted|rollup|atomic_fact|agent:.+|project:.+|windows|claude|hermes|codex|gemini|opencode)$')))) AS e
   FROM memories),
 cut AS (SELECT id, regexp_replace(trim(e), '^[.,;:)]+|[.,;:)]+$', '', 'g') AS entity FROM raw),
@@ -210,7 +212,7 @@ named AS (SELECT id, entity, CASE array_to_string(regexp_extract_all(lower(entit
     WHEN 'nomic embed text' THEN 'ollama' WHEN 'model context protocol' THEN 'mcp' WHEN 'open memory' THEN 'openmemory' WHEN 'mem0' THEN 'openmemory'
     ELSE array_to_string(regexp_extract_all(lower(entity), '[a-z0-9]+|[一-鿿]+'), ' ') END AS normalized_entity,
   CASE WHEN starts_with(entity, 'http://') OR starts_with(entity, 'https://') THEN 'url' WHEN starts_with(entity, '/') THEN 'path'
-    WHEN regexp_full_match(entity, '[0-9]{2,5}') THEN 'port'
+    WHEN regexp_full_match(entity, '\\p{Nd}{2,5}') THEN 'port'
     WHEN regexp_matches(entity, '\\.(sqlite3?|ya?ml|toml|json|db|py|md)$') THEN 'file' ELSE 'concept' END AS entity_type
   FROM cut WHERE entity <> ''),
 weighed AS (SELECT *, CASE entity_type WHEN 'path' THEN 1.0 WHEN 'url' THEN 0.95 WHEN 'port' THEN 0.9 WHEN 'file' THEN 0.9

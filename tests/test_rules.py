@@ -295,3 +295,53 @@ def test_the_ratio_stays_below_its_bound(spark):
         assert SequenceMatcher(None, r.new_text, r.old_text).ratio() <= r.most + 1e-12
     unlike = [r.most for r in rows if len(r.new_text) > 400 and len(r.old_text) > 400 and len(set(r.new_text)) > 5 and len(set(r.old_text)) > 5]
     assert min(unlike) < 0.7
+
+
+def test_entities_of_any_script(spark):
+    """Words are those of Unicode: no path begins within one, and paths, files and names may hold letters of any script."""
+    rows = [
+        (1, "siehe /Büro/notiz.md und 路径/tmp/x und /a/ü"), (2, "数据.json, übergrößen.yaml; xqdrant qdrantü qdrant."), (3, "http://ex.org/ä\u00a0b //c"),
+        (4, "端口 8080:443 port 22x port\u00a0٣٤ :123456"), (5, "a.md-b.json .hidden.toml x.mdx"),
+    ]
+    raw = text.entities(F.col("content"), F.array().cast("array<string>"))
+    got = {r.id: sorted(r.e) for r in spark.createDataFrame(rows, "id long, content string").select("id", raw.alias("e")).collect()}
+    assert got == {
+        1: sorted(["/Büro/notiz.md", "/a/ü", "notiz.md"]), 2: ["qdrant", "übergrößen.yaml", "数据.json"], 3: sorted(["http://ex.org/ä", "/ex.org/ä", "/c"]),
+        4: sorted(["8080", "443", "٣٤"]), 5: sorted(["a.md-b.json", "hidden.toml"]),
+    }
+
+
+def test_profile_conflicts_by_brute_force(spark):
+    """Short and long names, names that are parts of others, one that no record has, an empty one."""
+    draw = random.Random(6)
+    words = ["editor", "edit", "theme", "os", "x", "über", "编辑器", "shell", "zsh", "dark", "vim"]
+    memories = [(i, "user_profile" if i % 5 else "note", draw.choice(words), " ".join(draw.choice(words) for _ in range(i % 6))) for i in range(120)]
+    profile = [("editor", "vim", 0.9), ("Edit", "emacs", 0.8), ("os", "linux", 0.9), ("x", "dark mode", 0.95), ("编辑器", "vim zsh", 0.9), ("nowhere", "vim", 1.0),
+               ("theme", "dark", 0.5), ("", "vim", 0.9), ("über", "a", 0.9), ("editor", "zed", 0.9)]
+    want = {
+        (i, a, v) for i, kind, t, c in memories for a, v, sure in profile
+        if kind == "user_profile" and sure >= 0.8 and a and a.lower() in f"{t}\n{c}".lower()
+        and (tokens := [w for w in v.split() if len(w) >= 2]) and not any(w in f"{t}\n{c}".lower() for w in tokens)
+    }
+    found = agents.conflicts(spark.createDataFrame(memories, "id long, type string, title string, content string"), spark.createDataFrame(profile, "attribute string, value string, confidence double"))
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_projects_of_paths(spark):
+    """Roots that are parts of names, the root of all, trailing slashes, repeated and null paths."""
+    paths = ["/w/a", "/w/a/b", "/w/ab", "/w/a", None, "", "/", "/w/a/", "rel/x", "/w/a//c"]
+    projects = [("deep", "/w/a/b", 1), ("a", "/w/a", 2), ("slash", "/w/a/", 0), ("all", "", 9), ("rel", "rel", 3)]
+    inside = lambda p, r: p is not None and (p == r or p.startswith(r + "/"))
+    want = [(p, next((n for n, r, _ in sorted(projects, key=lambda x: x[2]) if inside(p, r)), None)) for p in paths]
+    records = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = agents.resolved_project(records, spark.createDataFrame(projects, "name string, root string, place int")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_broadcast_messages_meet_blocks_of_agents(spark, monkeypatch):
+    monkeypatch.setattr(agents, "AGENTS", 3)
+    messages = spark.createDataFrame([(1, 2, None), (2, 3, 5), (3, 99, None)], "message_id long, sender long, receiver long")
+    got = agents.fanned_out(messages, spark.range(10).withColumnRenamed("id", "agent_id")).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, i) for i in range(10) if i != 2] + [(3, i) for i in range(10)])
+    assert agents.fanned_out(messages, spark.range(0).withColumnRenamed("id", "agent_id")).count() == 0
