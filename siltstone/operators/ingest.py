@@ -15,7 +15,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from siltstone.functions import text, vector
 from siltstone.model import DEDUP, DEDUP_OTHER
-from siltstone.sources.scratch import numbered
+from siltstone.operators.first_wins import first_wins
+from siltstone.sources.scratch import broadcast_if_small, numbered, written
 
 WORDS = re.compile(r"[\w一-鿿]+")
 
@@ -51,25 +52,13 @@ def first_of_batch(facts: DataFrame, least: float = 0.55) -> DataFrame:
 
 
 def greedy_of_batch(facts: DataFrame, least: float = 0.55) -> DataFrame:
-    """(batch, id) of facts that no kept earlier fact of the batch is like: the sequential rule.
-
-    It depends on the order, so the pairs found in parallel go to one task a batch; a batch is one conversation's facts.
-    """
-    pairs = alike_in_batch(facts, least)
-
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(part["a"], part["b"]):
-            if pd.notna(a):
-                near.setdefault(int(b), set()).add(int(a))
-        kept: set[int] = set()
-        for i in sorted(part["id"].unique()):
-            if not near.get(i, set()) & kept:
-                kept.add(int(i))
-        return pd.DataFrame({"batch": part["batch"].iloc[0], "id": sorted(kept)})
-
-    joined = facts.select("batch", "id").join(pairs.select("batch", "a", "b", F.col("b").alias("id")), ["batch", "id"], "left")
-    return joined.groupBy("batch").applyInPandas(keep, "batch long, id long")
+    """(batch, id) of facts that no kept earlier fact of the batch is like, as one pass in order would keep them; by
+    parallel rounds over the pairs (``first_wins``), so a batch may be of any size. Of repeated rows one counts."""
+    key = ["batch", "id"]
+    end = lambda c: F.struct("batch", F.col(c).alias("id")).alias(c)
+    pairs = alike_in_batch(facts, least).select(end("a"), end("b"))
+    rows = facts.select(*key).dropna().distinct()
+    return first_wins(rows, pairs, key, [F.col("batch"), F.col("id")]).where("kept").select(*key)
 
 
 def title_matches(facts: DataFrame, memories: DataFrame) -> DataFrame:
@@ -324,20 +313,38 @@ def auto_supersessions(
     return scored.select("old_id", "new_id", "likeness", action.alias("action"))
 
 
-def clustered(records: DataFrame, least: float = 0.85) -> DataFrame:
-    """(id, leader): ranked records (rank, id, unit), each under the first leader so near. The rule depends on the rank,
-    so the records of a pack, a few dozen at most, meet in one task; never give it a whole table."""
-
-    def lead(part: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, list[float]]] = []
-        out = []
-        for r in part.sort_values("rank").itertuples():
-            found = next((i for i, v in leaders if r.unit is not None and sum(a * b for a, b in zip(v, r.unit)) >= least), None)
-            if found is None:
-                found = r.id
-                if r.unit is not None:
-                    leaders.append((r.id, list(r.unit)))
-            out.append((r.id, found))
-        return pd.DataFrame(out, columns=["id", "leader"])
+def clustered(records: DataFrame, least: float = 0.85, tile: int = 1024) -> DataFrame:
+    """(id, leader): ranked records (rank, id, unit), each under the first leader so near; those without a unit lead
+    themselves alone.
 
-    return records.select("rank", "id", "unit").groupBy(F.lit(0).alias("all")).applyInPandas(lead, "id long, leader long")
+    Near records are found by products of blocks (``near_pairs``); who leads, by parallel rounds (``first_wins``), so a
+    whole table may be clustered.
+    """
+    rows = written(records.select("rank", "id", "unit"), "ranked")
+    pairs = near_pairs(rows.where("unit is not null").select("id", "unit"), least, tile)
+    pairs = pairs.select(F.struct(F.col("a").alias("id")).alias("a"), F.struct(F.col("b").alias("id")).alias("b"))
+    out = first_wins(rows.select("id", "rank"), pairs, ["id"], [F.col("rank"), F.col("id")])
+    return out.select("id", F.col("leader.id").alias("leader"))
+
+
+def near_pairs(units: DataFrame, least: float, tile: int = 1024) -> DataFrame:
+    """(a, b) of all rows (id, unit) of equal length whose product is at least ``least``, a before b: rows are dealt to
+    blocks of about ``tile`` by a hash, and each pair of blocks is a product of two matrices in one task."""
+    given = units.withColumn("width", F.size("unit"))
+    blocks = given.groupBy("width").agg(F.ceil(F.count("*") / tile).cast("long").alias("blocks"))
+    dealt = given.join(broadcast_if_small(blocks), "width").withColumn("own", F.expr("pmod(xxhash64(id, 23), blocks)"))
+    every = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    met = dealt.withColumn("other", every).select("id", "unit", "width", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = units.schema["id"].dataType.simpleString()
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        ours, theirs = part[part["own"] == i], part[part["own"] == j]
+        if not len(ours) or not len(theirs):
+            return pd.DataFrame({"a": [], "b": []})
+        x, y = ours["id"].to_numpy(), theirs["id"].to_numpy()
+        near = np.stack(ours["unit"].to_list()) @ np.stack(theirs["unit"].to_list()).T >= least
+        r, c = np.nonzero(near & (x[:, None] < y) if i == j else near)
+        return pd.DataFrame({"a": np.minimum(x[r], y[c]), "b": np.maximum(x[r], y[c])})
+
+    return met.groupBy("width", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
