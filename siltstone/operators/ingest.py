@@ -11,9 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from siltstone.functions import text, vector
+from siltstone.functions import text
 from siltstone.model import DEDUP, DEDUP_OTHER
 from siltstone.operators.first_wins import first_wins
 from siltstone.sources.scratch import broadcast_if_small, numbered, written
@@ -177,83 +176,61 @@ def import_counts(existing: DataFrame, incoming: DataFrame, key: str = "id", tim
     )
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def distinct_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The distinct words of each text, as ``WORDS`` finds them."""
-    for part in parts:
-        yield part.map(lambda t: sorted(set(WORDS.findall(t))))
-
-
 #: Characters of the strings that bound what two texts have in common, and the length from which difflib passes over
 #: frequent characters: a fixed value of its.
 GRAM, LONG = 8, 200
 
 
-@F.pandas_udf(StructType([StructField("grams", ArrayType(IntegerType())), StructField("merged", IntegerType()), StructField("rare", IntegerType())]))
-def matching_bound(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """What bounds the characters that difflib can match of each text: its strings of GRAM characters, repeats numbered,
-    as hashes; how many of these fell together; and how many of its characters are rare (null below LONG)."""
-    for part in parts:
-        yield pd.DataFrame([_bound_of(t) for t in part], columns=["grams", "merged", "rare"]).astype({"rare": "Int32"})
-
-
-def _bound_of(text: str) -> tuple[list[int], int, int | None]:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n, rare = len(codes), None
-    if n >= LONG:
-        counts = np.unique(codes, return_counts=True)[1]
-        rare = int(counts[counts <= n // 100 + 1].sum())
-    if n < GRAM:
-        return [], 0, rare
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    h = np.zeros(n - GRAM + 1, dtype=np.uint64)
-    for j in range(GRAM):
-        h = (h ^ (h >> np.uint64(29))) * odd + codes[j : n - GRAM + 1 + j]
-    h = np.sort(h)
-    first = np.concatenate([[True], h[1:] != h[:-1]])
-    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-    h = (h + nth.astype(np.uint64)) * odd
-    kept = np.unique(((h ^ (h >> np.uint64(31))) * odd >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    return kept.tolist(), len(h) - len(kept), rare
-
-
-def ratio_bound(new: str, old: str) -> Column:
-    """The most that difflib's ratio of ``{new}_text`` and ``{old}_text`` can be, from their lengths and ``{p}_bound``.
-
-    It matches blocks in order. From LONG characters on, a block must hold a character that is rare in the older text,
-    but for one at the very start, so there are at most rare + 1. Each block of n characters has n - GRAM + 1 strings of
-    GRAM characters, which both texts hold; so all blocks have at most as many characters as the texts have such
-    strings in common, and GRAM - 1 more for each block.
-    """
-    a, b = F.length(f"{new}_text"), F.length(f"{old}_text")
-    common = F.size(F.array_intersect(f"{new}_bound.grams", f"{old}_bound.grams")) + F.col(f"{new}_bound.merged")
-    most = F.when(F.col(f"{old}_bound.rare").isNotNull(), common + (F.col(f"{old}_bound.rare") + 1) * (GRAM - 1))
-    matched = F.least(a, b, most)
-    return F.coalesce(F.try_divide(2.0 * matched, a + b), F.lit(1.0))
-
-
-def sequence_likeness(least: float) -> Callable[..., Column]:
-    """A function of two whole texts, their words' Jaccard and their vectors' cosine, or nulls: see ``_likeness``; null
-    below ``least``."""
-
-    @F.pandas_udf(DoubleType())
-    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right, *numbers in parts:
-            words, cosine = (n.astype(object).where(n.notna(), None) for n in numbers)
-            yield pd.Series([_likeness(*row, least) for row in zip(left, right, words, cosine)], dtype=float)
-
-    return run
-
-
-def _likeness(a: str, b: str, words: float | None, cosine: float | None, least: float) -> float | None:
+class Told:
+    """A text, and what bounds the characters that difflib can match of it: its strings of GRAM characters, repeats
+    numbered, as hashes; how many of these fell together; and how many of its characters are rare (None below LONG)."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, frozenset(WORDS.findall(text))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.size, self.rare, self.merged, self.grams = len(codes), None, 0, frozenset()
+        if self.size >= LONG:
+            counts = np.unique(codes, return_counts=True)[1]
+            self.rare = int(counts[counts <= self.size // 100 + 1].sum())
+        if self.size >= GRAM:
+            odd, n = np.uint64(0x9E3779B97F4A7C15), self.size - GRAM + 1
+            h = np.zeros(n, dtype=np.uint64)
+            for j in range(GRAM):
+                h = (h ^ (h >> np.uint64(29))) * odd + codes[j : n + j]
+            h = np.sort(h)
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            nth = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+            self.grams = frozenset(((h + nth.astype(np.uint64)) * odd).tolist())
+            self.merged = n - len(self.grams)
+
+    def ratio_with(self, old: Told) -> float:
+        """The most that difflib's ratio of this text and an older one can be.
+
+        It matches blocks in order. From LONG characters on, a block must hold a character that is rare in the older
+        text, but for one at the very start, so there are at most rare + 1. Each block of n characters has n - GRAM + 1
+        strings of GRAM characters, which both texts hold; so all blocks have at most as many characters as the
+        texts have such strings in common, and GRAM - 1 more for each block.
+        """
+        most = min(self.size, old.size)
+        if old.rare is not None and most:
+            most = min(most, len(self.grams & old.grams) + self.merged + (old.rare + 1) * (GRAM - 1))
+        return 2 * most / (self.size + old.size) if self.size + old.size else 1.0
+
+
+def _likeness(new: Told, old: Told, cosine: float | None, least: float) -> float | None:
     """.65 of the matching-blocks ratio of two texts and .35 of their words' Jaccard; where there is a cosine, .4 of that
-    and .6 of the cosine. The ratio is computed only where its upper bound by letters leaves a chance."""
+    and .6 of the cosine; None below ``least``. The ratio is computed only where its upper bounds, by lengths, by common
+    strings and by letters, leave a chance."""
+    words = len(new.words & old.words) / len(new.words | old.words) if new.words and old.words else None
 
     def blended(ratio: float) -> float:
         out = ratio if words is None else round(ratio * 0.65 + words * 0.35, 4)
         return out if cosine is None else round(cosine * 0.6 + out * 0.4, 4)
 
-    matcher = SequenceMatcher(None, a, b)
+    shortest = 2 * min(new.size, old.size) / (new.size + old.size) if new.size + old.size else 1.0
+    if blended(shortest) < least or blended(new.ratio_with(old)) < least:
+        return None
+    matcher = SequenceMatcher(None, new.text, old.text)
     out = blended(matcher.quick_ratio())
     out = out if out < least else blended(matcher.ratio())
     return None if out < least else out
@@ -265,52 +242,43 @@ def auto_supersessions(
     """(old_id, new_id, likeness, action): active records of one type, scope and project whose lower-cased titles and
     contents, as a whole, are alike, and whose ``vectors`` (id, unit) are where both have one; if either is precious
     they are left to review. Each record is compared with the ``newest`` records before it at most; one without a type,
-    scope or project is compared with none.
+    scope or project is compared with none. Ids are unique.
 
     Records are numbered by ranges and meet by blocks of ``newest`` numbers: a record joins its own block and the next,
-    whatever the size of its group. Exact bounds are computed in the JVM for all pairs, by lengths, then words, then common
-    strings (``ratio_bound``); Python gets the pairs that these leave a chance.
+    whatever the size of its group, so a task compares at most ``newest`` records with twice as many. Texts travel once for
+    each of these; what is computed of them doesn't. Exact bounds decide whether difflib runs for a pair.
     """
     least, group = min(auto, review), ["type", "scope", "project_path"]
     whole = F.lower(F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))))
     active = memories.where("status = 'active'").dropna(subset=group)
-    active = active.select("id", *group, "importance", "feedback_score", "updated_at", whole.alias("text"))
-    active = active.withColumn("words", distinct_words("text")).withColumn("bound", matching_bound("text"))
+    places = numbered(active.select("id", *group, "updated_at"), group, [F.desc("updated_at"), F.asc("id")]).select("id", "nth")
+    precious = F.col("type").isin("user_profile", "decision", "environment_fact") | (F.coalesce("importance", F.lit(0.0)) >= 0.85)
+    precious = precious | (F.coalesce("feedback_score", F.lit(0.0)) > 0)
+    active = active.select("id", *group, precious.alias("precious"), whole.alias("text"))
     if vectors is None:
         active = active.withColumn("unit", F.lit(None).cast("array<double>"))
     else:
         active = active.join(vectors.select("id", "unit"), "id", "left")
-    active = numbered(active, group, [F.desc("updated_at"), F.asc("id")]).drop("updated_at")
-    active = active.withColumn("block", F.floor(F.col("nth") / newest))
-    side = lambda p: active.select(*(F.col(c).alias(f"{p}_{c}") for c in active.columns))
-    old, new = side("old"), side("new").withColumn("new_block", F.explode(F.array(F.col("new_block"), F.col("new_block") + 1)))
-    same = [F.col(f"old_{c}") == F.col(f"new_{c}") for c in (*group, "block")]
-    near = (F.col("old_nth") > F.col("new_nth")) & (F.col("old_nth") <= F.col("new_nth") + newest)
-    shared, both = F.size(F.array_intersect("old_words", "new_words")), F.size("old_words") + F.size("new_words")
-    jaccard = F.when((F.size("old_words") > 0) & (F.size("new_words") > 0), shared / (both - shared))
-    cosine = F.when(F.col("old_unit").isNotNull() & F.col("new_unit").isNotNull(), vector.dot(F.col("old_unit"), F.col("new_unit")))
-    old_size, new_size = F.length("old_text"), F.length("new_text")
-
-    lengths = F.coalesce(F.try_divide(2 * F.least(old_size, new_size), old_size + new_size), F.lit(1.0))
-
-    def most(words: Column, ratio: Column = lengths) -> Column:
-        """The most that two texts with this bound on their ratio can reach, and a little more for roundings."""
-        out = F.when(words.isNull(), ratio).otherwise(ratio * 0.65 + words * 0.35)
-        return F.when(F.col("cosine").isNull(), out).otherwise(F.col("cosine") * 0.6 + out * 0.4) + 0.001
-
-    one = F.when((F.size("old_words") > 0) & (F.size("new_words") > 0), F.lit(1.0))
-    pairs = old.join(new, [*same, near]).withColumn("cosine", cosine).where(most(one) >= least)
-    pairs = pairs.withColumn("jaccard", jaccard).where(most(F.col("jaccard")) >= least)
-    pairs = pairs.where(most(F.col("jaccard"), ratio_bound("new", "old")) >= least)
-    likeness = sequence_likeness(least)("new_text", "old_text", "jaccard", "cosine")
-    scored = pairs.withColumn("likeness", likeness).where(F.col("likeness").isNotNull())
-    precious = F.lit(False)
-    for p in ("old", "new"):
-        kept = F.col(f"{p}_type").isin("user_profile", "decision", "environment_fact")
-        kept |= F.coalesce(F.col(f"{p}_importance"), F.lit(0.0)) >= 0.85
-        precious = precious | kept | (F.coalesce(F.col(f"{p}_feedback_score"), F.lit(0.0)) > 0)
-    action = F.when((F.col("likeness") >= auto) & ~precious, "supersede").otherwise("review")
-    return scored.select("old_id", "new_id", "likeness", action.alias("action"))
+    active = active.join(places, "id").withColumn("block", F.floor(F.col("nth") / newest))
+    own_or_next = F.explode(F.array(F.col("block"), F.col("block") + 1))
+    later = active.select(*(F.col(c).alias(c) for c in active.columns if c != "block"), own_or_next.alias("block"))
+
+    def compare(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        known = [[(r.id, r.nth, r.precious, r.unit, Told(r.text)) for r in side.itertuples()] for side in (old, new)]
+        for old_id, old_nth, old_precious, old_unit, old_told in known[0]:
+            for new_id, new_nth, new_precious, new_unit, new_told in known[1]:
+                if new_nth < old_nth <= new_nth + newest:
+                    both = old_unit is not None and new_unit is not None
+                    cosine = float(sum(x * y for x, y in zip(old_unit, new_unit))) if both else None
+                    likeness = _likeness(new_told, old_told, cosine, least)
+                    if likeness is not None:
+                        out.append((old_id, new_id, likeness, "review" if likeness < auto or old_precious or new_precious else "supersede"))
+        return pd.DataFrame(out, columns=["old_id", "new_id", "likeness", "action"])
+
+    kind = memories.schema["id"].dataType.simpleString()
+    both = active.groupBy(*group, "block").cogroup(later.groupBy(*group, "block"))
+    return both.applyInPandas(compare, f"old_id {kind}, new_id {kind}, likeness double, action string")
 
 
 def clustered(records: DataFrame, least: float = 0.85, tile: int = 1024) -> DataFrame:
