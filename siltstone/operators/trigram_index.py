@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions import text
 from siltstone.operators import search
@@ -18,11 +19,25 @@ from siltstone.sources.scratch import broadcast_if_small, written
 BUCKET, RAREST = 4_000_000, 3
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _windows(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The distinct strings of three characters in each text; a shorter text is one itself."""
-    for part in parts:
-        yield part.map(lambda t: sorted({t[i : i + 3] for i in range(max(1, len(t) - 2))}) if t else [])
+def _postings(many: int, id_type: pa.DataType):
+    """(kind, bucket, id, n, joined): a record's trigrams of each kind and bucket, distinct and joined to one string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for id_, title, said in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "said"))):
+                windows = {said[i : i + 3] for i in range(max(1, len(said) - 2))} if said else ()
+                for kind, grams, n in (("title", title, len(title)), ("text", windows, None)):
+                    by: dict[int, list[str]] = {}
+                    for g in grams:
+                        by.setdefault(zlib.crc32(g.encode("utf-8", "surrogatepass")) % many, []).append(g)
+                    for bucket, own in by.items():
+                        for column, value in zip(out, (kind, bucket, id_, n, "".join(own))):
+                            column.append(value)
+            kinds = (pa.string(), pa.int32(), id_type, pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["kind", "bucket", "id", "n", "joined"])
+
+    return run
 
 
 def haystack() -> Column:
@@ -52,17 +67,17 @@ class TrigramIndex:
         spark = records.sparkSession
         write_table(records, f"{path}/records")
         kept = read_table(spark, f"{path}/records")
-        titles = kept.select("id", text.trigrams(F.coalesce("title", F.lit(""))).alias("grams"))
-        titles = titles.select(F.lit("title").alias("kind"), F.explode("grams").alias("gram"), "id", F.size("grams").alias("n"))
-        whole = kept.select("id", _windows(haystack()).alias("grams"))
-        whole = whole.select(F.lit("text").alias("kind"), F.explode("grams").alias("gram"), "id", F.lit(None).cast("int").alias("n"))
-        both = written(titles.unionByName(whole), "postings")
-        counts = both.groupBy("kind", "gram").agg(F.count("*").alias("postings"))
-        many = max(16, -(-both.count() // bucket))
-        of = F.expr(f"cast(pmod(xxhash64(gram), {many}) AS int)")
-        write_table(counts.withColumn("bucket", of).repartition("bucket").sortWithinPartitions("gram"), f"{path}/grams")
-        dealt = both.withColumn("bucket", of).repartition("bucket", F.expr("pmod(xxhash64(id), 4)"))
-        write_table(dealt.sortWithinPartitions("bucket", "kind", "gram", "id"), f"{path}/postings", "bucket")
+        said = kept.select("id", text.trigrams(F.coalesce("title", F.lit(""))).alias("title"), haystack().alias("said"))
+        many = max(16, -(-(kept.agg(F.sum(F.length(haystack()).cast("long"))).first()[0] or 0) // bucket))
+        kind = kept.schema["id"].dataType
+        rows = said.mapInArrow(_postings(many, to_arrow_type(kind)), f"kind string, bucket int, id {kind.simpleString()}, n int, joined string")
+        dealt = rows.repartition("bucket", F.expr("pmod(xxhash64(id), 4)"))
+        # every trigram has three characters but the one of a shorter text, which is alone in its row
+        gram = F.explode(F.regexp_extract_all("joined", F.lit("(?s).{1,3}"), F.lit(0))).alias("gram")
+        dealt = dealt.select("kind", gram, "id", "n", "bucket").sortWithinPartitions("bucket", "kind", "gram", "id")
+        write_table(dealt, f"{path}/postings", "bucket", {"parquet.writer.version": "PARQUET_2_0"})
+        counts = read_table(spark, f"{path}/postings").groupBy("kind", "gram", "bucket").agg(F.count("*").alias("postings"))
+        write_table(counts.repartition("bucket").sortWithinPartitions("gram"), f"{path}/grams")
         return cls(spark, path)
 
     def _of(self, kind: str, grams: DataFrame) -> DataFrame:

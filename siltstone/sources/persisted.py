@@ -44,9 +44,10 @@ def persisted(spark: SparkSession, name: str, paths: list[str], build: Callable[
     return spark.read.text(pointer.toString()).first()[0]
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, options: dict[str, str] | None = None) -> None:
     """The table with its schema beside it, so that an empty one can be read again."""
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.write.options(**(options or {}))
+    writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.parquet(path)
     df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{path}.schema")
 
