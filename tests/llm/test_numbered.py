@@ -141,7 +141,7 @@ def test_held_out_accuracy(spark):
     """At sf0.1, where there are enough labels to learn from. A constant would have one share of 0 and an area of .5."""
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    for query, column, least in ((queries.op8_quality_classifier, "quality", (0.95, 0.95, 0.98)), (queries.op9_toxicity, "toxic", (0.98, 0.85, 0.95))):
+    for query, column, least in ((queries.op8_quality_classifier, "quality", (0.95, 0.95, 0.98)), (queries.op9_toxicity, "toxic", (0.98, 0.9, 0.95))):
         scored = query(spark, sf).cache()
         assert scored.count() == 10_000
         got = _accuracies(scored, labels, column)
