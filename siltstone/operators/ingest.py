@@ -179,6 +179,8 @@ def import_counts(existing: DataFrame, incoming: DataFrame, key: str = "id", tim
 #: Characters of the strings that bound what two texts have in common, and the length from which difflib passes over
 #: frequent characters: a fixed value of its.
 GRAM, LONG = 8, 200
+#: Bits that a text's strings fall on.
+BITS = 1 << 16
 
 
 class Told:
@@ -188,7 +190,7 @@ class Told:
     def __init__(self, text: str):
         self.text, self.words = text, frozenset(WORDS.findall(text))
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        self.size, self.rare, self.merged, self.grams = len(codes), None, 0, frozenset()
+        self.size, self.rare, self.merged, self.grams, self.bits, self.shared = len(codes), None, 0, frozenset(), 0, 0
         if self.size >= LONG:
             counts = np.unique(codes, return_counts=True)[1]
             self.rare = int(counts[counts <= self.size // 100 + 1].sum())
@@ -200,11 +202,16 @@ class Told:
             h = np.sort(h)
             first = np.concatenate([[True], h[1:] != h[:-1]])
             nth = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-            self.grams = frozenset(((h + nth.astype(np.uint64)) * odd).tolist())
+            h = (h + nth.astype(np.uint64)) * odd
+            self.grams = frozenset(h.tolist())
             self.merged = n - len(self.grams)
+            marks = np.zeros(BITS, dtype=np.uint8)
+            marks[h >> np.uint64(48)] = 1
+            self.bits, self.shared = int.from_bytes(np.packbits(marks).tobytes()), len(self.grams) - int(marks.sum())
 
-    def ratio_with(self, old: Told) -> float:
-        """The most that difflib's ratio of this text and an older one can be.
+    def ratio_with(self, old: Told, rough: bool = False) -> float:
+        """The most that difflib's ratio of this text and an older one can be; ``rough`` takes the bits that the strings
+        fall on for the strings, which is quick and never less.
 
         It matches blocks in order. From LONG characters on, a block must hold a character that is rare in the older
         text, but for one at the very start, so there are at most rare + 1. Each block of n characters has n - GRAM + 1
@@ -213,7 +220,8 @@ class Told:
         """
         most = min(self.size, old.size)
         if old.rare is not None and most:
-            most = min(most, len(self.grams & old.grams) + self.merged + (old.rare + 1) * (GRAM - 1))
+            common = (self.bits & old.bits).bit_count() + self.shared if rough else len(self.grams & old.grams)
+            most = min(most, common + self.merged + (old.rare + 1) * (GRAM - 1))
         return 2 * most / (self.size + old.size) if self.size + old.size else 1.0
 
 
@@ -221,14 +229,15 @@ def _likeness(new: Told, old: Told, cosine: float | None, least: float) -> float
     """.65 of the matching-blocks ratio of two texts and .35 of their words' Jaccard; where there is a cosine, .4 of that
     and .6 of the cosine; None below ``least``. The ratio is computed only where its upper bounds, by lengths, by common
     strings and by letters, leave a chance."""
-    words = len(new.words & old.words) / len(new.words | old.words) if new.words and old.words else None
+    both = len(new.words & old.words) if new.words and old.words else 0
+    words = both / (len(new.words) + len(old.words) - both) if new.words and old.words else None
 
     def blended(ratio: float) -> float:
         out = ratio if words is None else round(ratio * 0.65 + words * 0.35, 4)
         return out if cosine is None else round(cosine * 0.6 + out * 0.4, 4)
 
     shortest = 2 * min(new.size, old.size) / (new.size + old.size) if new.size + old.size else 1.0
-    if blended(shortest) < least or blended(new.ratio_with(old)) < least:
+    if blended(shortest) < least or blended(new.ratio_with(old, rough=True)) < least or blended(new.ratio_with(old)) < least:
         return None
     matcher = SequenceMatcher(None, new.text, old.text)
     out = blended(matcher.quick_ratio())
