@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.model import AS_OF
 from siltstone.operators import agents
 from siltstone.plans.registry import query
+from siltstone.sources.scratch import shared_folder
 from siltstone.sources.views import view
+from siltstone.streaming import timers
 
 
 @query(f"""SELECT agent_id, CASE WHEN last_seen_at <= TIMESTAMP '{AS_OF}' - INTERVAL '7' DAY THEN 'offline'
@@ -114,3 +118,41 @@ SELECT user_id, CAST(min(ts) AS VARCHAR) AS start, count(*) AS n FROM s GROUP BY
 def event_windows_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = view(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
     return windows.select("user_id", F.col("session_window.start").cast("timestamp_ntz").cast("string").alias("start"), "n")
+
+
+JOB_EVENTS = ("queued", "started", "beat", "succeeded", "failed")
+
+
+def event_life(spark: SparkSession, sf_dir: str, life: timers.Life, kind: Column) -> DataFrame:
+    """The changes of a life (key, since, status, attempt) by the stream of all events, a key for each user and event type, up to the
+    watermark that the last event leaves."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be a file
+    keyed = events.select(
+        F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("time"),
+        F.col("event_id").alias("seq"), kind.alias("kind"),
+    )
+    base = f"{shared_folder(spark)}/life-{uuid.uuid4().hex}"
+    timers.kept(timers.live(keyed, life), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return timers.changes(spark, f"{base}/out").select("key", F.timestamp_micros("at").cast("timestamp_ntz").cast("string").alias("since"), "status", "attempt")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR || ':' || event_type AS key, ts, event_id, CASE WHEN value < 100 THEN 'online' ELSE 'busy' END AS kind
+  FROM events WHERE value IS NOT NULL),
+n AS (SELECT *, lead(ts) OVER k AS next, lag(ts) OVER k AS before, lag(kind) OVER k AS was FROM e WINDOW k AS (PARTITION BY key ORDER BY ts, event_id)),
+c AS (SELECT key, ts AS since, kind AS status FROM n WHERE before IS NULL OR ts >= before + INTERVAL '24' HOUR OR was <> kind
+  UNION ALL SELECT key, ts + INTERVAL '24' HOUR, 'idle' FROM n WHERE next IS NULL OR next >= ts + INTERVAL '24' HOUR
+  UNION ALL SELECT key, ts + INTERVAL '168' HOUR, 'offline' FROM n WHERE next IS NULL OR next >= ts + INTERVAL '168' HOUR)
+SELECT key, CAST(since AS VARCHAR) AS since, status FROM c WHERE since <= (SELECT date_trunc('milliseconds', max(ts)) FROM e) - INTERVAL '1' HOUR""")
+def presence_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presence as a stream with timers: what each agent was, and since when."""
+    kind = F.when(F.col("value") < 100, "online").when(F.col("value") >= 100, "busy")
+    return event_life(spark, sf_dir, timers.Presence(), kind).drop("attempt")
+
+
+@query()
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with leases and retries as a stream with timers; held to ``timers.replay`` in the tests."""
+    kinds = F.array(*map(F.lit, JOB_EVENTS))
+    kind = F.element_at(kinds, F.pmod("event_id", F.lit(len(JOB_EVENTS))).cast("int") + 1)
+    return event_life(spark, sf_dir, timers.Job(lease=48 * timers.HOUR, wait=timers.HOUR), kind)
