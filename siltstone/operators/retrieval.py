@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.functions.scores import clamp, recency, usage_bonus
 from siltstone.model import MODES, TASK_WEIGHTS, TASK_WORDS
+from siltstone.operators.agents import conflicts
+from siltstone.operators.records import overlap
+from siltstone.sources.scratch import written
 
 
 def kind_of_task(task: str) -> str:
@@ -33,8 +36,22 @@ def fused(lexical: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFr
     )
 
 
-def scored(records: DataFrame, task: str, as_of: str, recency_weight: float = 0.05, atomic: bool = True) -> DataFrame:
-    """Fused records with lexical and score. One projection: evidence adds up, then factors discount it."""
+def contradicted(hits: DataFrame, profile: DataFrame) -> DataFrame:
+    """``hits`` with conflict: the first attribute of the profile (attribute, value, confidence) that a profile record names
+    without its value, else null. Hits are a search's few; they are written once."""
+    kept = written(hits, "hits")
+    found = conflicts(kept.select("id", "type", "title", "content"), profile)
+    return kept.join(found.groupBy("id").agg(F.min("attribute").alias("conflict")), "id", "left")
+
+
+def scored(
+    records: DataFrame, task: str, as_of: str, recency_weight: float = 0.05, atomic: bool = True,
+    profile_words: tuple[str, ...] = (), boost_weight: float = 0.15, conflict_penalty: float = 0.6,
+) -> DataFrame:
+    """Fused records with lexical and score. One projection: evidence adds up, then factors discount it.
+
+    A record whose text holds words of the user's profile is raised by up to ``boost_weight``; one that has a column
+    ``conflict`` (see ``contradicted``) that isn't null is discounted by ``conflict_penalty``."""
     lexical = text.lexical_relevance(task, F.col("title"), F.col("content"), F.col("tags"))
     out = records.withColumn("lexical_all", lexical)
     has = lambda s: F.array_contains("sources", s)
@@ -58,8 +75,13 @@ def scored(records: DataFrame, task: str, as_of: str, recency_weight: float = 0.
         + clamp(F.coalesce("feedback_score", F.lit(0.0)), -1.0, 1.0) * 0.02
         + fresh * recency_weight
     )
+    if profile_words:
+        said = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+        evidence = evidence + overlap(said, list(profile_words)) * boost_weight
     factor = F.when(F.col("status") == "candidate", 0.85).otherwise(1.0) * short
     factor = factor * F.when(has("fts") & has("vector"), 1.5).otherwise(1.0)
+    if "conflict" in records.columns:
+        factor = factor * F.when(F.col("conflict").isNotNull(), conflict_penalty).otherwise(1.0)
     return out.withColumn("fresh", fresh).withColumn("score", F.greatest(F.lit(0.0), evidence * factor))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.model import AS_OF
 from siltstone.operators import retrieval, search
+from siltstone.operators.entity_table import EntityTable
 from siltstone.operators.trigram_index import TrigramIndex
 from siltstone.operators.vector_index import VectorIndex
 from siltstone.plans.registry import query, query_like
@@ -143,6 +144,11 @@ def trigram_index(spark: SparkSession, sf_dir: str) -> TrigramIndex:
     return TrigramIndex(spark, path)
 
 
+def entity_table(spark: SparkSession, sf_dir: str) -> EntityTable:
+    path = persisted(spark, "entity-table", [f"{sf_dir}/documents.parquet"], lambda p: EntityTable.build(view(spark, sf_dir, "memories"), p))
+    return EntityTable(spark, path)
+
+
 @query_like("vector_topk")
 def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_index(spark, sf_dir).nearest(seed_vector(spark, sf_dir), 10)
@@ -235,25 +241,36 @@ def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "entity", "weight", "boost")
 
 
-def context_candidates(spark: SparkSession, sf_dir: str, task: str = TASK) -> DataFrame:
-    """Visible records found by words, vector or entity, fused and scored."""
+@query_like("entity_search")
+def entity_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["src3", "en"]
+    found = search.entity_search(entity_table(spark, sf_dir).named(*names), view(spark, sf_dir, "memories"), names)
+    return found.select("id", "entity", "weight", "boost")
+
+
+def context_candidates(spark: SparkSession, sf_dir: str, task: str = TASK, profile: DataFrame | None = None, words: tuple[str, ...] = ()) -> DataFrame:
+    """Visible records found by words, vector or entity, fused and scored; with a profile (attribute, value, confidence) and
+    its words, by how well they fit it, too."""
     memories = view(spark, sf_dir, "memories")
     live = memories.where(F.col("status").isin("active", "candidate")).where(search.valid_at(AS_OF))
     live = live.where(search.visible("global", "/work/src3"))
-    words = search.ranked(live, task, 30).select("id", F.lit("fts").alias("source"))
+    said = search.ranked(live, task, 30).select("id", F.lit("fts").alias("source"))
     near = search.nearest(vectors(spark, sf_dir), seed_vector(spark, sf_dir), 30, 0.1)
-    named = search.entity_index(live).where("normalized_entity = 'src3'")
-    named = named.join(live.select("id", "importance", "updated_at"), "id")
+    named = entity_table(spark, sf_dir).named("src3").join(live.select("id", "importance", "updated_at"), "id")
     named = named.withColumn("boost", search.entity_boost(F.col("weight")))
     named = named.orderBy(F.desc("weight"), F.desc("importance"), F.desc("updated_at"), "id").limit(30)
-    return retrieval.scored(live.join(F.broadcast(retrieval.fused(words, near, named)), "id"), task, AS_OF)
+    hits = live.join(F.broadcast(retrieval.fused(said, near, named)), "id")
+    hits = hits if profile is None else retrieval.contradicted(hits, profile)
+    return retrieval.scored(hits, task, AS_OF, profile_words=words)
 
 
 FTS = " OR ".join(
     f"title ILIKE '%{t}%' OR content ILIKE '%{t}%' OR {similar('title', f"'{t}'")} > 0.15" for t in search.search_terms(TASK)
 )
 
-CANDIDATES = f"""live AS MATERIALIZED (SELECT * FROM memories WHERE status IN ('active', 'candidate')
+def candidates_sql(boost: str = "0", factor: str = "1") -> str:
+    """The scored candidates, with what a profile adds to their evidence and the factor by which it discounts them."""
+    return f"""live AS MATERIALIZED (SELECT * FROM memories WHERE status IN ('active', 'candidate')
   AND (valid_until IS NULL OR valid_until > TIMESTAMP '{AS_OF}')
   AND (scope = 'global' OR (scope = 'project' AND project_path IN ('/work/src3', '')))),
 w AS (SELECT id FROM live WHERE {FTS}
@@ -274,13 +291,16 @@ scored AS (SELECT *, greatest(0, (vector_score * 0.35 + lex * 0.28 + boost + CAS
     + CASE WHEN list_contains(sources, 'entity') THEN 0.06 ELSE 0 END + CASE WHEN lex >= 0.5 THEN 0.15 ELSE 0 END
     - CASE WHEN kind = 'parent_memory' THEN 0.05 ELSE 0 END + importance * 0.05
     + least(0.02, ln(1 + injected_count) * 0.005) + effectiveness_score * 0.02
-    + greatest(-1, least(1, feedback_score)) * 0.02 + fresh * 0.05)
+    + greatest(-1, least(1, feedback_score)) * 0.02 + fresh * 0.05 + {boost}) * {factor}
   * CASE WHEN status = 'candidate' THEN 0.85 ELSE 1 END
   * CASE WHEN lex >= 0.4 OR vector_score >= 0.8 OR list_contains(sources, 'entity') THEN 1
       WHEN length(content) < 50 THEN 0.5 WHEN length(content) < 80 THEN 0.85 ELSE 1 END
   * CASE WHEN m AND list_contains(sources, 'vector') THEN 1.5 ELSE 1 END) AS score FROM h)"""
 
 
+CANDIDATES = candidates_sql()
+
+
 @query(f"""WITH {CANDIDATES} SELECT id, array_to_string(sources, ',') AS sources, round(lexical_all, 6) AS lexical,
   round(score, 6) AS score FROM scored""")
 def fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,8 +311,7 @@ def fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PACK = f"""{CANDIDATES},
-ok AS (SELECT *, score * CASE type WHEN 'project_memory' THEN 1.4 WHEN 'decision' THEN 1.2 ELSE 1 END AS final FROM scored
+PACKED = """ok AS (SELECT *, score * CASE type WHEN 'project_memory' THEN 1.4 WHEN 'decision' THEN 1.2 ELSE 1 END AS final FROM scored
   WHERE NOT (array_to_string(sources, ',') = 'vector' AND vector_score < 0.35) AND score >= 0.15),
 r AS (SELECT *, row_number() OVER (ORDER BY round(final, 9) DESC, fresh DESC, updated_at DESC, id) AS rnk FROM ok),
 p AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY rnk) AS nth FROM r),
@@ -302,10 +321,12 @@ t AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rnk) AS of_type FR
 pack AS (SELECT *, row_number() OVER (ORDER BY rnk) AS rank FROM t
   WHERE of_type <= CASE WHEN type = 'episodic_memory' THEN 2 ELSE 3 END ORDER BY rnk LIMIT 12)"""
 
+PACK = f"{CANDIDATES},\n{PACKED}"
+
 
-def context_pack(spark: SparkSession, sf_dir: str, task: str = TASK) -> DataFrame:
+def context_pack(spark: SparkSession, sf_dir: str, task: str = TASK, **profile) -> DataFrame:
     """The capped, ranked records of a pack."""
-    found = retrieval.gated(context_candidates(spark, sf_dir, task))
+    found = retrieval.gated(context_candidates(spark, sf_dir, task, **profile))
     return retrieval.capped(retrieval.pruned(retrieval.ordered(found, task)))
 
 
@@ -350,3 +371,34 @@ SELECT count(*) AS total_candidates, count(*) FILTER (used) AS used_count,
 def pack_quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.ordered(retrieval.gated(context_candidates(spark, sf_dir)), TASK)
     return retrieval.pack_quality(found, retrieval.capped(retrieval.pruned(found)))
+
+
+#: A user's profile: words, and attributes whose records must have one of the value's words.
+LIKED = ("leaux", "ache", "the")
+KNOWN = (("en", "zebra stripes", 0.9), ("a", "enaux leaux", 0.85), ("und", "xx", 0.95), ("e", "quagga", 0.3))
+SAID = "lower(coalesce(title, '') || ' ' || coalesce(content, ''))"
+BOOST = f"least(1.0::DOUBLE, ({' + '.join(f"contains({SAID}, '{w}')::INT" for w in LIKED)}) / 3.0::DOUBLE) * 0.15"
+TOLD = "lower(title || chr(10) || content)"
+CONFLICT = "CASE WHEN type <> 'user_profile' THEN NULL " + " ".join(
+    f"WHEN contains({TOLD}, '{name}')" + "".join(f" AND NOT contains({TOLD}, '{word}')" for word in value.split()) + f" THEN '{name}'"
+    for name, value, confidence in sorted(KNOWN) if confidence >= 0.8
+) + " END"
+PROFILED = candidates_sql(BOOST, f"CASE WHEN {CONFLICT} IS NULL THEN 1 ELSE 0.6 END")
+
+
+def user_profile(spark: SparkSession) -> dict:
+    return {"profile": spark.createDataFrame(list(KNOWN), "attribute string, value string, confidence double"), "words": LIKED}
+
+
+@query(f"WITH {PROFILED} SELECT id, {CONFLICT} AS conflict, round(score, 6) AS score FROM scored")
+def profile_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of a pack as a user's profile raises or discounts them."""
+    found = context_candidates(spark, sf_dir, **user_profile(spark))
+    return found.select("id", "conflict", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {PROFILED},\n{PACKED} SELECT rank, id, type, round(final, 6) AS final, {CONFLICT} IS NOT NULL AS withheld FROM pack")
+def profile_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack for a user: what contradicts the profile is withheld from its text and shown as a warning."""
+    found = context_pack(spark, sf_dir, **user_profile(spark))
+    return found.select("rank", "id", "type", F.round("final", 6).alias("final"), F.col("conflict").isNotNull().alias("withheld"))
