@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.scores import days_before
 from siltstone.model import AS_OF
-from siltstone.operators import curation, maintenance
-from siltstone.plans.registry import query
+from siltstone.operators import curation, hash_tree, maintenance
+from siltstone.plans.registry import query, query_like
 from siltstone.plans.search import vector_index
+from siltstone.sources.persisted import persisted
 from siltstone.sources.views import view
 
 KEY = "substr(array_to_string(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+'), ' '), 1, 120)"
@@ -255,6 +256,43 @@ def reconcile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.reconciled(rows, view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")))
 
 
+@query_like("reconcile_index")
+def reconcile_by_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by two trees of digests, of the live rows and of the index: only leaves that differ are read."""
+    rows = view(spark, sf_dir, "memories").where("id % 10 <> 9").select("id", "status")
+    index, depth = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), tree_depth(spark, sf_dir)
+    live = F.when(F.col("status").isin("active", "candidate"), F.col("id"))
+    left = tree_of(spark, "tree-live", f"{sf_dir}/documents.parquet", rows, live, depth)
+    right = tree_of(spark, "tree-index", f"{sf_dir}/embeddings.parquet", index, F.col("id"), depth)
+    return maintenance.reconciled(*hash_tree.differing_rows(left, right))
+
+
+def tree_depth(spark: SparkSession, sf_dir: str) -> int:
+    return hash_tree.depth_of(view(spark, sf_dir, "documents").count())
+
+
+def tree_of(spark: SparkSession, name: str, path: str, rows: DataFrame, digest: Column, depth: int) -> hash_tree.HashTree:
+    """A tree that is built once for a source file."""
+    build = lambda p: hash_tree.HashTree.build(rows, p, "id", digest, depth)
+    return hash_tree.HashTree(spark, persisted(spark, f"{name}-{depth}", [path], build))
+
+
+@query("""WITH s AS (SELECT id, content, CASE WHEN id % 97 = 0 THEN 'gone' ELSE status END AS status FROM memories WHERE id % 89 <> 0
+  UNION ALL SELECT -1 - id, content, status FROM memories WHERE id % 83 = 0)
+SELECT coalesce(r.id, s.id) AS id, CASE WHEN s.id IS NULL THEN 'missing' WHEN r.id IS NULL THEN 'extra' ELSE 'changed' END AS what
+FROM memories r FULL JOIN s ON r.id = s.id
+WHERE r.id IS NULL OR s.id IS NULL OR r.status IS DISTINCT FROM s.status OR r.content IS DISTINCT FROM s.content""")
+def replica_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records and a replica that has lost, gained and changed some, compared by their trees."""
+    rows = view(spark, sf_dir, "memories").select("id", "content", "status")
+    moved = F.when(F.col("id") % 97 == 0, "gone").otherwise(F.col("status")).alias("status")
+    replica = rows.where("id % 89 <> 0").select("id", "content", moved)
+    replica = replica.unionByName(rows.where("id % 83 = 0").withColumn("id", -1 - F.col("id")))
+    path, depth, whole = f"{sf_dir}/documents.parquet", tree_depth(spark, sf_dir), F.struct("id", "content", "status")
+    trees = [tree_of(spark, n, path, df, whole, depth) for n, df in (("tree-records", rows), ("tree-replica", replica))]
+    return hash_tree.drift(*trees, "id", ["content", "status"])
+
+
 @query("""SELECT status, count(*) AS n, count(*) FILTER (created_at < TIMESTAMP '1996-01-01 00:00:00' AND status = 'applied') AS gone
 FROM ledger GROUP BY status""")
 def retention_archive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
