@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import parse, vector
-from siltstone.operators import vectors
+from siltstone.operators import judging, vectors
 from siltstone.plans.registry import query
+from siltstone.sources.scratch import shared_folder
 from siltstone.sources.views import view
 
 
@@ -43,6 +45,27 @@ def pair_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.decided(pairs, view(spark, sf_dir, "memories"))
 
 
+def longer(prompts: list[str]) -> list[str | None]:
+    """A judge for want of a model: of two records the longer text stays, and equal ones are kept both."""
+    out: list[str | None] = []
+    for a, b in ((p["a"], p["b"]) for p in map(json.loads, prompts)):
+        here, there = len(a["content"] or ""), len(b["content"] or "")
+        found = {"action": "keep_both"} if here == there else {"action": "merge", "keep": (a if here > there else b)["id"]}
+        out.append(f"Compared.\n```json\n{json.dumps(found)}\n```")
+    return out
+
+
+@query("""WITH p AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM links WHERE source_id <> target_id),
+j AS (SELECT a, b, coalesce(length(x.content), 0) AS la, coalesce(length(y.content), 0) AS lb FROM p JOIN memories x ON x.id = a JOIN memories y ON y.id = b)
+SELECT a, b, CASE WHEN la = lb THEN 'keep_both' ELSE 'merge' END AS action, CASE WHEN la > lb THEN a WHEN lb > la THEN b END AS keep,
+  CASE WHEN la > lb THEN b WHEN lb > la THEN a END AS drop, 'judged' AS state FROM j""")
+def curator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curation run over all linked pairs, through the store of replies."""
+    store = judging.Judgements(spark, f"{shared_folder(spark)}/judged-{uuid.uuid4().hex}", "longer")
+    pairs = view(spark, sf_dir, "links").selectExpr("source_id AS a", "target_id AS b")
+    return judging.curated(pairs, view(spark, sf_dir, "memories"), store, longer, budget=256_000_000).drop("reason")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user_id END AS pair, CASE WHEN event_id % 5 > 0 THEN event_type END AS action FROM events""")
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies with thoughts and fences; every fifth holds no JSON."""
