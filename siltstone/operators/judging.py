@@ -46,15 +46,18 @@ class Judgements:
         batches of about ``budget`` characters (a longer prompt is a batch of its own), ``calls`` prompts a call, and ends
         after ``most`` batches; the number of batches. A prompt without an answer is asked again by the next run, and one
         whose executor was lost, again at once."""
-        asked = self.question(prompts.where("prompt is not null").select("prompt")).dropDuplicates(["question"])
+        asked = self.question(prompts.where("prompt is not null").select("prompt"))
         open_ = asked.join(self.replies().select("question"), "question", "left_anti")
-        batches = self._dealt(open_, budget)
-        numbers = batches.agg(F.min("batch"), F.max("batch")).first()
+        dealt, ends = self._dealt(open_, budget)
+        numbers = ends.agg(F.min("batch"), F.max("batch")).first()
         done = 0
         for number in range(numbers[0], numbers[1] + 1) if numbers[0] is not None else ():
             if most is not None and done >= most:
                 break
-            batch = batches.where(F.col("batch") == number)
+            first, last = ends.where(F.col("batch") == number).agg(F.min("question"), F.max("question")).first()
+            if first is None:  # a longer prompt has taken this one's characters
+                continue
+            batch = dealt.where(F.col("question").between(first, last))
             tasks = self.spark.sparkContext.defaultParallelism
             said = batch.repartition(tasks, "question").select("question", "prompt").mapInPandas(_asked(judge, calls), REPLIES)
             name = uuid.uuid4().hex
@@ -65,16 +68,19 @@ class Judgements:
             done += 1
         return done
 
-    def _dealt(self, asked: DataFrame, budget: int) -> DataFrame:
-        """Prompts with the number of their batch, by running sums of their lengths in ranges of the questions."""
-        slices = written(asked.repartitionByRange("question").withColumn("slice", F.spark_partition_id()), "questions")
-        size = F.length("prompt").cast("long")
-        sums = slices.groupBy("slice").agg(F.sum(size).alias("size"))
+    def _dealt(self, asked: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+        """Distinct prompts in the order of their questions, and (question, batch) by running sums of their lengths. A batch
+        is a range of questions, which row groups prune."""
+        ranges = asked.repartitionByRange("question").dropDuplicates(["question"])  # keeps the ranges
+        sliced = ranges.withColumn("slice", F.spark_partition_id()).sortWithinPartitions("question")
+        dealt = written(sliced.withColumn("size", F.length("prompt").cast("long")), "questions")
+        sums = dealt.groupBy("slice").agg(F.sum("size").alias("size"))
         before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         starts = sums.select("slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))  # a row a partition
-        own = F.sum(size).over(Window.partitionBy("slice").orderBy("question").rowsBetween(Window.unboundedPreceding, -1))
-        run = slices.withColumn("own", F.coalesce(own, F.lit(0))).join(F.broadcast(starts), "slice")
-        return written(run.select("question", "prompt", F.floor((F.col("start") + F.col("own")) / budget).alias("batch")), "batches")
+        own = F.sum("size").over(Window.partitionBy("slice").orderBy("question").rowsBetween(Window.unboundedPreceding, -1))
+        run = dealt.select("question", "slice", F.coalesce(own, F.lit(0)).alias("own")).join(F.broadcast(starts), "slice")
+        ends = written(run.select("question", F.floor((F.col("start") + F.col("own")) / budget).alias("batch")), "batches")
+        return dealt.select("question", "prompt"), ends
 
 
 def _asked(judge: Judge, calls: int):
