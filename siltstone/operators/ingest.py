@@ -6,41 +6,87 @@ import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from siltstone.functions import text
 from siltstone.model import DEDUP, DEDUP_OTHER
 from siltstone.operators.first_wins import first_wins
 from siltstone.sources.scratch import broadcast_if_small, numbered, written
 
+#: Facts of a block of a batch that are compared at once, and pairs that a task passes on at once.
+ALIKE, PAIRS = 1024, 10_000
 WORDS = re.compile(r"[\w一-鿿]+")
 
 
-def alike_in_batch(facts: DataFrame, least: float = 0.55) -> DataFrame:
+def alike_in_batch(facts: DataFrame, least: float = 0.55, block: int = ALIKE) -> DataFrame:
     """(batch, a, b, likeness) of facts (batch, id, text) of one batch whose character bigrams overlap so far.
 
-    Only facts that share one of the rarest bigrams of either meet: with a Jaccard of at least t, a set of n grams
-    shares one of its n - ceil(t * n) + 1 first grams in any fixed order with the other's. Rare grams come first, so
-    few facts meet, and a batch's common grams never bring all of its facts together.
+    Bigrams of letters are so common that nearly all facts of a batch share even the rarer ones, so all of its pairs are
+    looked at. A batch is dealt to blocks of about ``block`` facts by a hash of the id, and each two blocks are a tile; tiles come one
+    after the other in a task, which holds one of them. In a tile, a fact's shared bigrams with all others are counted at
+    once from the postings of its own.
     """
-    grams = facts.select("batch", "id", text.ngrams(F.col("text")).alias("grams")).where("size(grams) > 0")
-    each = grams.select("batch", "id", F.explode("grams").alias("gram"))
-    often = each.groupBy("batch", "gram").agg(F.count("*").alias("n"))
-    order = F.array_sort(F.collect_list(F.struct("n", "gram")))
-    ranked = each.join(often, ["batch", "gram"]).groupBy("batch", "id").agg(order.alias("ranked"))
-    size = F.size("ranked")
-    prefix = F.slice("ranked", F.lit(1), size - F.ceil(size * least).cast("int") + 1)
-    keys = ranked.select("batch", "id", F.explode(F.transform(prefix, lambda x: x["gram"])).alias("gram"))
-    left, right = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b")
-    pairs = left.join(right, ["batch", "gram"]).where("a < b").select("batch", "a", "b").distinct()
-    side = lambda x: grams.select("batch", F.col("id").alias(x), F.col("grams").alias(f"of_{x}"))
-    both = pairs.join(side("a"), ["batch", "a"]).join(side("b"), ["batch", "b"])
-    likeness = text.jaccard(F.col("of_a"), F.col("of_b"))
-    return both.select("batch", "a", "b", likeness.alias("likeness")).where(F.col("likeness") >= least)
+    told = facts.where("batch is not null and id is not null and text is not null").select("batch", "id", F.trim(F.lower("text")).alias("text"))
+    blocks = told.groupBy("batch").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = told.join(blocks, "batch", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tiles = dealt.select("batch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "text")
+    tiles = tiles.repartition("batch", "i", "j").sortWithinPartitions("batch", "i", "j")
+    kinds = [facts.schema[c].dataType for c in ("batch", "id")]
+    schema = StructType([StructField(n, k) for n, k in zip(("batch", "a", "b", "likeness"), (kinds[0], kinds[1], kinds[1], DoubleType()))])
+    return tiles.mapInArrow(_alike_in_tiles(least, *map(to_arrow_type, kinds)), schema)
+
+
+def _alike_in_tiles(least: float, batch_type: pa.DataType, id_type: pa.DataType):
+    """(batch, a, b, likeness) by rows (batch, i, j, own, id, text) that come tile by tile: pairs within block i where i is
+    j, else those between the two blocks."""
+
+    def compare(batch, within: bool, rows: list[tuple]) -> Iterator[tuple]:
+        sets = [{t[k : k + 2] for k in range(len(t) - 1)} if len(t) > 1 else {t} for _, _, t in rows]
+        own, sizes = np.array([r[0] for r in rows]), np.array([len(s) for s in sets])
+        holders: dict[str, list[int]] = {}
+        for r, grams in enumerate(sets):
+            for g in grams:
+                holders.setdefault(g, []).append(r)
+        held = {g: np.array(r) for g, r in holders.items() if len(r) > 1}
+        for r, grams in enumerate(sets):
+            postings = [held[g] for g in grams if g in held]
+            if not postings:
+                continue
+            shared = np.bincount(np.concatenate(postings), minlength=len(rows))
+            ratio = shared / (sizes[r] + sizes - shared)
+            near = (ratio >= least) & (shared > 0)
+            for o in np.flatnonzero(near if within else near & (own != own[r])):
+                if rows[r][1] < rows[o][1]:
+                    yield batch, rows[r][1], rows[o][1], float(ratio[o])
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        tile, rows = None, []
+        for some in batches:
+            for *key, own, id_, t in zip(*(some.column(c).to_pylist() for c in ("batch", "i", "j", "own", "id", "text"))):
+                if key != tile:
+                    if len(rows) > 1:
+                        yield from compare(tile[0], tile[1] == tile[2], rows)
+                    tile, rows = key, []
+                rows.append((own, id_, t))
+        if len(rows) > 1:
+            yield from compare(tile[0], tile[1] == tile[2], rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = tiles(batches)
+        while some := list(islice(found, PAIRS)):
+            kinds = (batch_type, id_type, id_type, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], ["batch", "a", "b", "likeness"])
+
+    return run
 
 
 def first_of_batch(facts: DataFrame, least: float = 0.55) -> DataFrame:
