@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,25 +18,31 @@ from siltstone.sources.scratch import broadcast_if_small, written
 
 #: Postings of a bucket aimed at, and the trigrams of a term, the rarest ones, whose postings are read at most.
 BUCKET, RAREST = 4_000_000, 3
+#: Records whose trigrams are made, and rows that are passed on, at once.
+RECORDS, ROWS = 64, 10_000
 
 
 def _postings(many: int, id_type: pa.DataType):
-    """(kind, bucket, id, n, joined): a record's trigrams of each kind and bucket, distinct and joined to one string."""
+    """(kind, bucket, id, n, joined): a record's trigrams of each kind and bucket, distinct and joined to one string.
+    Rows are passed on in batches of a bounded number, however many buckets there are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for id_, title, said in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "said"))):
-                windows = {said[i : i + 3] for i in range(max(1, len(said) - 2))} if said else ()
-                for kind, grams, n in (("title", title, len(title)), ("text", windows, None)):
-                    by: dict[int, list[str]] = {}
-                    for g in grams:
-                        by.setdefault(zlib.crc32(g.encode("utf-8", "surrogatepass")) % many, []).append(g)
-                    for bucket, own in by.items():
-                        for column, value in zip(out, (kind, bucket, id_, n, "".join(own))):
-                            column.append(value)
-            kinds = (pa.string(), pa.int32(), id_type, pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["kind", "bucket", "id", "n", "joined"])
+            for start in range(0, batch.num_rows, RECORDS):
+                some = batch.slice(start, RECORDS)
+                for id_, title, said in zip(*(some.column(c).to_pylist() for c in ("id", "title", "said"))):
+                    windows = {said[i : i + 3] for i in range(max(1, len(said) - 2))} if said else ()
+                    for kind, grams, n in (("title", title, len(title)), ("text", windows, None)):
+                        by: dict[int, list[str]] = {}
+                        for g in grams:
+                            by.setdefault(zlib.crc32(g.encode("utf-8", "surrogatepass")) % many, []).append(g)
+                        for bucket, own in by.items():
+                            yield kind, bucket, id_, n, "".join(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, found = (pa.string(), pa.int32(), id_type, pa.int32(), pa.string()), rows(batches)
+        while some := list(islice(found, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], ["kind", "bucket", "id", "n", "joined"])
 
     return run
 
