@@ -137,7 +137,8 @@ def replay(life: Life, events: Iterable[tuple[int, int, str]], until: int) -> li
 
 
 class Keeper(StatefulProcessor):
-    """Runs a life for each key: waiting events in one map, the state in one value, one timer for what comes next."""
+    """Runs a life for each key: waiting events in one list, the state in one value, one timer for what comes next. Events
+    that can't be applied yet are added to the list at once and unread; it is read as a whole when one of them can."""
 
     def __init__(self, life: Life):
         self.life = life
@@ -145,18 +146,16 @@ class Keeper(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "body string")
-        self.waiting = handle.getMapState("waiting", "at long, seq long", "kind string")
+        self.waiting = handle.getListState("events", "at long, seq long, kind string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         body = self._body()
         past = tuple(body.get("past", (-LAST, 0)))
-        for r in rows:
-            if (r["at"], r["seq"]) > past:
-                self.waiting.updateValue((r["at"], r["seq"]), (r["kind"],))
-        return self._settle(key, body, timerValues)
+        new = {(at, seq): kind for at, seq, kind in ((r["at"], r["seq"], r["kind"]) for r in rows) if (at, seq) > past}
+        return self._settle(key, body, timerValues, new)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        return self._settle(key, self._body(), timerValues)
+        return self._settle(key, self._body(), timerValues, {})
 
     def close(self) -> None:
         pass
@@ -164,15 +163,28 @@ class Keeper(StatefulProcessor):
     def _body(self) -> dict:
         return json.loads(self.state.get()[0]) if self.state.exists() else {}
 
-    def _settle(self, key: Any, body: dict, timer_values: Any) -> Iterator[Row]:
+    def _settle(self, key: Any, body: dict, timer_values: Any, new: dict[tuple[int, int], str]) -> Iterator[Row]:
         until = timer_values.getCurrentWatermarkInMs() * 1000
-        events = sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator())
-        ready = [e for e in events if e[0] <= until]
+        first, ready = min([at for at, _ in new] + [body[n] for n in ("first",) if n in body], default=None), []
+        if first is not None and first <= until:
+            known = {(at, seq): kind for at, seq, kind in self.waiting.get()} if "first" in body else {}
+            events = sorted((at, seq, kind) for (at, seq), kind in (known | new).items())
+            ready = [e for e in events if e[0] <= until]
+            rest = events[len(ready) :]
+            if rest:
+                self.waiting.put(rest)
+            elif known:
+                self.waiting.clear()
+            first = rest[0][0] if rest else None
+        elif new:
+            self.waiting.appendList([(at, seq, kind) for (at, seq), kind in new.items()])
+        body.pop("first", None)
         out = [Row(key=key[0], at=at, status=status, attempt=attempt) for at, status, attempt in advance(self.life, body, ready, until)]
-        for at, seq, _ in ready:
-            self.waiting.removeKey((at, seq))
+        due = self.life.due(body)
+        if first is not None:
+            body["first"] = first
         self.state.update((json.dumps(body),))
-        nexts = [t for t in (self.life.due(body), events[len(ready)][0] if len(ready) < len(events) else None) if t is not None]
+        nexts = [t for t in (due, first) if t is not None]
         wanted = -(-min(nexts) // 1000) if nexts else None
         there = list(self.handle.listTimers())
         for t in there:
