@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import vector
 from siltstone.sources.persisted import read_table, write_table
-from siltstone.sources.scratch import broadcast_if_small, written
+from siltstone.sources.scratch import broadcast_if_small, numbered, written
 
 #: Vectors aimed at in a cell, children of a node at most, and levels of the tree at most.
 CELL, FAN, LEVELS = 2048, 64, 12
@@ -218,8 +218,6 @@ class VectorIndex:
             leaves = near.where("leaf").select("id", F.col("node").alias("cell"), "bound")
             out = leaves if out is None else out.unionByName(leaves)
             open_ = near.where("not leaf").select(*queries.columns, F.col("node").alias("at"))
-            if deepest > 1:
-                open_ = written(open_, "index-visits")
         return out
 
     def neighbours(self, queries: DataFrame, least: float, k: int) -> DataFrame:
@@ -227,36 +225,44 @@ class VectorIndex:
         those of equal length whose cosine, rounded to twelve digits, is at least ``least``; equal ones by id.
 
         Every query first visits the cell with the best bound; the k-th score found there is what other cells must be
-        able to reach. A visit is a product of two matrices in one task: queries and cells are cut into blocks of TILE
-        rows, and a task passes on a query's nearest rows alone.
+        able to reach. Neighbouring cells are visited as one group, of up to TOGETHER vectors in large tables, so a query
+        travels once to a group and not once to each of its cells. A visit is a product of two matrices in one task: queries
+        and groups are cut into blocks, and a task passes on a query's nearest rows alone.
         """
         queries = written(queries.where("unit is not null").select("id", "unit"), "index-queries")
-        seen = written(self.visits(queries, F.lit(float(least) - 1e-11)), "index-seen")
-        first = seen.groupBy("id").agg(F.max(F.struct("bound", "cell")).alias("best")).select("id", F.col("best.cell").alias("cell"))
-        near = written(self._tiles(queries, first, least, k), "index-near")
+        leaves = self.nodes.where("leaf").select(F.col("node").alias("cell"), "n")
+        wide = max(1, min(TOGETHER // CELL, leaves.count() // 8))
+        placed = numbered(leaves.withColumn("_all", F.lit(0)), ["_all"], [F.col("cell")])
+        groups = written(placed.select("cell", "n", F.floor((F.col("nth") - 1) / wide).alias("group")), "index-groups")
+        seen = self.visits(queries, F.lit(float(least) - 1e-11)).join(broadcast_if_small(groups.select("cell", "group")), "cell")
+        seen = written(seen.groupBy("id", "group").agg(F.max("bound").alias("bound")), "index-seen")
+        tiles = lambda visits: self._tiles(queries, visits, groups, max(TILE, wide * CELL), least, k)
+        first = seen.groupBy("id").agg(F.max(F.struct("bound", "group")).alias("best")).select("id", F.col("best.group").alias("group"))
+        near = written(tiles(first), "index-near")
         at_least = near.groupBy("a").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
         reach = F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float(least))) - 1e-11
-        rest = seen.join(first.withColumnRenamed("cell", "first"), "id").join(at_least.withColumnRenamed("a", "id"), "id", "left")
-        rest = rest.where((F.col("cell") != F.col("first")) & (F.col("bound") >= reach)).select("id", "cell")
-        both = near.unionByName(self._tiles(queries, rest, least, k))
+        rest = seen.join(first.withColumnRenamed("group", "first"), "id").join(at_least.withColumnRenamed("a", "id"), "id", "left")
+        rest = rest.where((F.col("group") != F.col("first")) & (F.col("bound") >= reach)).select("id", "group")
+        both = near.unionByName(tiles(rest))
         nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
         return both.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
 
-    def _tiles(self, queries: DataFrame, visits: DataFrame, least: float, k: int) -> DataFrame:
+    def _tiles(self, queries: DataFrame, visits: DataFrame, groups: DataFrame, side: int, least: float, k: int) -> DataFrame:
         visits = written(visits, "index-tiles")
-        sizes = visits.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("long").alias("askers"))
-        held = self.nodes.where("leaf").select(F.col("node").alias("cell"), F.ceil(F.col("n") / TILE).cast("long").alias("blocks"))
-        sizes = broadcast_if_small(written(sizes.join(held, "cell"), "index-sizes"))
+        sizes = visits.groupBy("group").agg(F.ceil(F.count("*") / side).cast("long").alias("askers"))
+        held = groups.groupBy("group").agg(F.ceil(F.sum("n") / side).cast("long").alias("blocks"))
+        sizes = broadcast_if_small(written(sizes.join(held, "group"), "index-sizes"))
         every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
-        ours = visits.join(sizes, "cell").join(queries, "id").select(
-            "id", "unit", "cell", F.expr("pmod(xxhash64(id, 17), askers)").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left")
+        ours = visits.join(sizes, "group").join(queries, "id").select(
+            "id", "unit", "group", F.expr("pmod(xxhash64(id, 17), askers)").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left")
         )
         cells = _units(self.vectors.select("id", "embedding", "cell")).where("unit is not null")
-        theirs = cells.join(sizes, "cell").select(
-            "id", "unit", "cell", every("askers").alias("i"), F.expr("pmod(xxhash64(id, 19), blocks)").alias("j"), F.lit(False).alias("left")
+        cells = cells.join(broadcast_if_small(groups.select("cell", "group")), "cell")
+        theirs = cells.join(sizes, "group").select(
+            "id", "unit", "group", every("askers").alias("i"), F.expr("pmod(xxhash64(id, 19), blocks)").alias("j"), F.lit(False).alias("left")
         )
         kind = self.vectors.schema["id"].dataType.simpleString()
-        tiles = ours.unionByName(theirs).withColumn("width", F.size("unit")).groupBy("cell", "i", "j", "width")
+        tiles = ours.unionByName(theirs).withColumn("width", F.size("unit")).groupBy("group", "i", "j", "width")
         return tiles.applyInPandas(_nearest_rows(least, k), f"a {kind}, b {kind}, score double")
 
     def pairs(self, least: float, k: int = 6) -> DataFrame:
@@ -282,14 +288,16 @@ def _nearest_rows(least: float, k: int) -> Callable[[pd.DataFrame], pd.DataFrame
         out = [(ids[:0], others[:0], np.zeros(0))]
         if len(ids) and len(others):
             x, y = np.stack(ours["unit"].to_list()), np.stack(theirs["unit"].to_list())
-            for s in range(0, len(ids), 256):
-                score = np.round(x[s : s + 256] @ y.T, 12)
-                score[(score < least) | (ids[s : s + 256, None] == others)] = -np.inf
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(top)), top.shape[1])
-                column = top.ravel()
-                good = score[row, column] > -np.inf
-                out.append((ids[s + row[good]], others[column[good]], score[row[good], column[good]]))
+            for s in range(0, len(ids), 64):
+                score = np.round(x[s : s + 64] @ y.T, 12)
+                score[(score < least) | (ids[s : s + 64, None] == others)] = -np.inf
+                kth = np.partition(score, -k, axis=1)[:, -k] if len(others) > k else np.full(len(score), -np.inf)
+                row, column = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
+                order = np.lexsort((column, -score[row, column], row))
+                row, column = row[order], column[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, column = row[top], column[top]
+                out.append((ids[s + row], others[column], score[row, column]))
         a, b, score = (np.concatenate(c) for c in zip(*out))
         return pd.DataFrame({"a": a, "b": b, "score": score})
 
