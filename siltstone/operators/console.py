@@ -16,6 +16,8 @@ APP_SORTS = {
 }
 #: States in which a decision can still be rejected, and those that end an execution: fixed values.
 ACTIONABLE = ("auto_approved", "needs_review")
+#: Rows that name a record, about, for which it has one copy, and the share of all rows by which they are counted.
+HOT, SHARE = 131_072, 64
 
 
 def agent_view(records: DataFrame) -> DataFrame:
@@ -74,12 +76,21 @@ def decoded(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 def listed(lists: DataFrame, key: str, ids: str, records: DataFrame, most: int, chars: int, more: str = "") -> DataFrame:
     """(key, rank, id, title, snippet, importance, tags) of the first ``most`` ids of each row's list, in its order, with
-    the beginnings of their contents; ids without a record are left out and leave a gap in the ranks."""
+    the beginnings of their contents; ids without a record are left out and leave a gap in the ranks.
+
+    Contents are cut before they travel. Records that more than about HOT lists name, as a SHARE-th of the rows tells, are copied
+    and their rows dealt to the copies, so that no task gets all of them; what is found doesn't depend on it."""
     each = lists.select(key, F.posexplode(F.slice(ids, 1, most)).alias("rank", "id"))
-    found = each.join(records.select("id", "title", "content", "importance", "tags"), "id")
     content = F.coalesce("content", F.lit(""))
     snippet = F.concat(F.substring(content, 1, chars), F.when(F.length(content) > chars, F.lit(more)).otherwise(""))
-    return found.select(key, (F.col("rank") + 1).alias("rank"), "id", F.coalesce("title", F.lit("")).alias("title"), snippet.alias("snippet"), "importance", "tags")
+    shown = records.select("id", F.coalesce("title", F.lit("")).alias("title"), snippet.alias("snippet"), "importance", "tags")
+    often = each.where(F.pmod(F.xxhash64(key, "rank"), F.lit(SHARE)) == 0).groupBy("id").agg((F.count("*") * SHARE).alias("n"))
+    hot = F.broadcast(often.where(F.col("n") > HOT).select("id", F.ceil(F.col("n") / HOT).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = each.join(hot, "id", "left").select(key, "rank", "id", F.pmod(F.hash(key, "rank"), copies).alias("copy"))
+    copied = shown.join(hot, "id", "left").select(*shown.columns, F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    found = dealt.hint("merge").join(copied, ["id", "copy"])
+    return found.select(key, (F.col("rank") + 1).alias("rank"), "id", "title", "snippet", "importance", "tags")
 
 
 def app_page(apps: DataFrame, sort: str = "name", descending: bool = False, limit: int = 50) -> DataFrame:

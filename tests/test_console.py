@@ -109,3 +109,24 @@ def test_console_on_awkward_rows(spark):
     new = spark.createDataFrame([("a", None, 5, {"k": "9"}), ("c", "online", 2, {}), ("a", "busy", 3, {})], "agent_id string, status string, seen_at long, metadata map<string,string>")
     got = {r.agent_id: (r.status, r.seen_at, r.metadata) for r in console.presence_upserted(old, new).collect()}
     assert got == {"a": ("idle", 5, {"k": "9", "m": "2"}), "b": (None, None, {}), "c": ("online", 2, {})}
+
+
+def test_lists_that_name_one_record_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(console, "HOT", 500, raising=False)
+    monkeypatch.setattr(console, "SHARE", 4, raising=False)
+    records = spark.range(3000).selectExpr("id", "concat('t', id) AS title", "repeat('ab', 9) AS content", "0.5D AS importance", "array('x') AS tags")
+    lists = spark.range(20_000).selectExpr("id AS key", "array(5L, id, null, 5L) AS ids")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = console.listed(lists, "key", "ids", records, 4, 3, "…")
+        rows = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    want = [(i, rank, 5) for i in range(20_000) for rank in (1, 4)] + [(i, 2, i) for i in range(3000)]
+    assert sorted((r.key, r["rank"], r.id) for r in rows) == sorted(want)
+    assert {(r.title, r.snippet, r.importance, *r.tags) for r in rows if r.id == 5} == {("t5", "aba…", 0.5, "x")}
+    tasks = [r.task for r in rows if r.id == 5]
+    assert max(map(tasks.count, set(tasks))) < len(tasks) / 2
