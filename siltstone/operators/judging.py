@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.parse import model_json
-from siltstone.sources.scratch import written
+from siltstone.sources.scratch import broadcast_if_small, written
 
 #: Answers to a list of prompts, in order; None where there is no answer.
 Judge = Callable[[list[str]], "list[str | None]"]
@@ -46,20 +46,29 @@ class Judgements:
         batches of about ``budget`` characters (a longer prompt is a batch of its own), ``calls`` prompts a call, and ends
         after ``most`` batches; the number of batches. A prompt without an answer is asked again by the next run, and one
         whose executor was lost, again at once."""
-        asked = self.question(prompts.where("prompt is not null").select("prompt"))
-        open_ = asked.join(self.replies().select("question"), "question", "left_anti")
-        dealt, ends = self._dealt(open_, budget)
+        return self.ask_kept(self.kept(prompts), judge, budget, calls, most)
+
+    def kept(self, prompts: DataFrame) -> DataFrame:
+        """``prompts`` with the digest of each, its length (size) and a number (nth), written: the one place where they are stored."""
+        size = F.length("prompt").cast("long").alias("size")
+        return written(self.question(prompts).select("*", size, F.monotonically_increasing_id().alias("nth")), "prompts")
+
+    def ask_kept(self, kept: DataFrame, judge: Judge, budget: int = 8_000_000, calls: int = 16, most: int | None = None) -> int:
+        """``ask`` for prompts that ``kept`` has written. Repeated and answered ones are told by their digests alone; the texts are
+        read, and travel, only with their batch."""
+        ends = self._dealt(kept.select("question", "size", "nth"), budget)
         numbers = ends.agg(F.min("batch"), F.max("batch")).first()
         done = 0
         for number in range(numbers[0], numbers[1] + 1) if numbers[0] is not None else ():
             if most is not None and done >= most:
                 break
-            first, last = ends.where(F.col("batch") == number).agg(F.min("question"), F.max("question")).first()
+            mine = ends.where(F.col("batch") == number).select("nth")
+            first, last = mine.agg(F.min("nth"), F.max("nth")).first()
             if first is None:  # a longer prompt has taken this one's characters
                 continue
-            batch = dealt.where(F.col("question").between(first, last))
+            batch = kept.where(F.col("nth").between(first, last)).join(broadcast_if_small(mine), "nth", "left_semi")
             tasks = self.spark.sparkContext.defaultParallelism
-            said = batch.repartition(tasks, "question").select("question", "prompt").mapInPandas(_asked(judge, calls), REPLIES)
+            said = batch.select("question", "prompt").repartition(tasks, "question").mapInPandas(_asked(judge, calls), REPLIES)
             name = uuid.uuid4().hex
             draft, place = (self._hadoop.Path(f"{self.path}/{folder}/{name}") for folder in ("drafts", "replies"))
             said.where("reply is not null").write.parquet(draft.toString())
@@ -68,19 +77,18 @@ class Judgements:
             done += 1
         return done
 
-    def _dealt(self, asked: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
-        """Distinct prompts in the order of their questions, and (question, batch) by running sums of their lengths. A batch
-        is a range of questions, which row groups prune."""
-        ranges = asked.repartitionByRange("question").dropDuplicates(["question"])  # keeps the ranges
-        sliced = ranges.withColumn("slice", F.spark_partition_id()).sortWithinPartitions("question")
-        dealt = written(sliced.withColumn("size", F.length("prompt").cast("long")), "questions")
-        sums = dealt.groupBy("slice").agg(F.sum("size").alias("size"))
+    def _dealt(self, asked: DataFrame, budget: int) -> DataFrame:
+        """(nth, batch) of the first prompt of each question without a reply, by running sums of their lengths in the order of
+        their numbers. A batch is a range of numbers, which row groups prune."""
+        once = asked.where("question is not null").groupBy("question").agg(F.min(F.struct("nth", "size")).alias("p")).select("question", "p.*")
+        open_ = once.join(self.replies().select("question"), "question", "left_anti")
+        sliced = written(open_.select("nth", "size", F.shiftrightunsigned("nth", 33).alias("slice")), "questions")  # a slice is a task that wrote prompts
+        sums = sliced.groupBy("slice").agg(F.sum("size").alias("size"))
         before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        starts = sums.select("slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))  # a row a partition
-        own = F.sum("size").over(Window.partitionBy("slice").orderBy("question").rowsBetween(Window.unboundedPreceding, -1))
-        run = dealt.select("question", "slice", F.coalesce(own, F.lit(0)).alias("own")).join(F.broadcast(starts), "slice")
-        ends = written(run.select("question", F.floor((F.col("start") + F.col("own")) / budget).alias("batch")), "batches")
-        return dealt.select("question", "prompt"), ends
+        starts = sums.select("slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))  # a row a slice
+        own = F.sum("size").over(Window.partitionBy("slice").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+        run = sliced.select("nth", "slice", F.coalesce(own, F.lit(0)).alias("own")).join(F.broadcast(starts), "slice")
+        return written(run.select("nth", F.floor((F.col("start") + F.col("own")) / budget).alias("batch")), "batches")
 
 
 def _asked(judge: Judge, calls: int):
@@ -108,8 +116,8 @@ def pair_prompts(pairs: DataFrame, records: DataFrame) -> DataFrame:
 def curated(pairs: DataFrame, records: DataFrame, store: Judgements, judge: Judge, **how) -> DataFrame:
     """(a, b, action, keep, drop, reason, state): what a judge finds of the pairs, asked through a store. A reply that isn't
     JSON, has another action or keeps a record outside of the pair is ``invalid``; a pair without a reply is ``open``."""
-    prompts = written(store.question(pair_prompts(pairs, records)), "prompts")
-    store.ask(prompts, judge, **how)
+    prompts = store.kept(pair_prompts(pairs, records))
+    store.ask_kept(prompts, judge, **how)
     said = prompts.select("a", "b", "question").join(store.replies(), "question", "left")
     read = said.withColumn("r", model_json(F.col("reply"), "action string, keep long, reason string"))
     good = F.col("r.action").isin(*ACTIONS) & ((F.col("r.action") == "keep_both") | F.col("r.keep").isin(F.col("a"), F.col("b")))

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from siltstone.operators import judging
 from siltstone.operators.judging import Judgements, curated
 
 
@@ -86,3 +87,16 @@ def test_no_pairs_and_wrong_numbers_of_answers(spark, data, tmp_path):
     with pytest.raises(Exception, match="0 answers"):
         curated(pairs, records, store, lambda prompts: [])
     assert store.replies().count() == 0
+
+
+def test_prompts_are_stored_once_and_repeated_ones_asked_once(spark, data, tmp_path, monkeypatch):
+    pairs, records = data
+    stored = []
+    keep = judging.written
+    monkeypatch.setattr(judging, "written", lambda df, name="table": stored.append("prompt" in df.columns) or keep(df, name))
+    log = tmp_path / "log"
+    log.mkdir()
+    store = Judgements(spark, f"file://{tmp_path}/j")
+    again = records.where("id between 10 and 12")
+    assert curated(pairs.where("a between 9 and 14"), records.unionByName(again), store, judge_of(log), budget=500).where("state <> 'open'").count() == 14
+    assert sum(stored) == 1 and len(calls(log)) == 6 and set(calls(log).values()) == {1}
