@@ -15,10 +15,12 @@ from siltstone.sources.scratch import broadcast_if_small, numbered, written
 
 #: Vectors aimed at in a cell, children of a node at most, and levels of the tree at most.
 CELL, FAN, LEVELS = 2048, 64, 12
-#: Vectors that a node's children are fitted on at most, rows that are assigned in one group, and rows of a tile's side.
-SAMPLE, TOGETHER, TILE = 20_000, 32_768, 4096
-#: What rounding may add to a bound.
-SLACK = 1e-9
+#: Vectors that a node's children are fitted on at most, and rows that are assigned in one group.
+SAMPLE, TOGETHER = 20_000, 32_768
+#: Vectors of a chunk at most, chunks of a block at least, bytes of a block at most, and pairs that a task holds before it sorts them.
+CHUNK, CHUNKS, BLOCK, HELD = 512, 8, 16 << 20, 2_000_000
+#: What rounding may add to a bound, and to an angle.
+SLACK, TURN = 1e-9, 1e-7
 
 
 def spherical_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -72,9 +74,8 @@ def _units(vectors: DataFrame) -> DataFrame:
     null or a number that isn't finite, and rows without an id, are left out."""
     bad = F.exists("unit", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     given = vectors.withColumn("unit", vector.doubles(F.col("embedding"))).where("id is not null and unit is not null")
-    given = given.where(~bad).withColumn("length", vector.norm(F.col("unit")))
-    scaled = F.when(F.col("length") > 0, F.transform("unit", lambda x: x / F.col("length")))
-    return given.withColumn("unit", scaled).drop("length")
+    scaled = lambda n: F.when(n > 0, F.transform("unit", lambda x: x / n))
+    return given.where(~bad).withColumn("unit", vector.bound(vector.norm(F.col("unit")), scaled))
 
 
 def best_cosine(toward: Column, low: Column, high: Column) -> Column:
@@ -220,55 +221,73 @@ class VectorIndex:
             open_ = near.where("not leaf").select(*queries.columns, F.col("node").alias("at"))
         return out
 
-    def neighbours(self, queries: DataFrame, least: float, k: int) -> DataFrame:
-        """(a, b, score): the up to ``k`` vectors b of the largest cosine with each query a (id, unit), itself left out, of
-        those of equal length whose cosine, rounded to twelve digits, is at least ``least``; equal ones by id.
+    def neighbours(self, least: float, k: int) -> DataFrame:
+        """(a, b, score): the up to ``k`` vectors b of the largest cosine with each vector a, itself left out, of those of
+        equal length whose cosine, rounded to twelve digits, is at least ``least``; equal ones by id.
 
-        Every query first visits the cell with the best bound; the k-th score found there is what other cells must be
-        able to reach. Neighbouring cells are visited as one group, of up to TOGETHER vectors in large tables, so a query
-        travels once to a group and not once to each of its cells. A visit is a product of two matrices in one task: queries
-        and groups are cut into blocks, and a task passes on a query's nearest rows alone.
+        Equal vectors are compared as one, which their smallest id stands for; what it is near to is handed on to the others.
         """
-        queries = written(queries.where("unit is not null").select("id", "unit"), "index-queries")
-        leaves = self.nodes.where("leaf").select(F.col("node").alias("cell"), "n")
-        wide = max(1, min(TOGETHER // CELL, leaves.count() // 8))
-        placed = numbered(leaves.withColumn("_all", F.lit(0)), ["_all"], [F.col("cell")])
-        groups = written(placed.select("cell", "n", F.floor((F.col("nth") - 1) / wide).alias("group")), "index-groups")
-        seen = self.visits(queries, F.lit(float(least) - 1e-11)).join(broadcast_if_small(groups.select("cell", "group")), "cell")
-        seen = written(seen.groupBy("id", "group").agg(F.max("bound").alias("bound")), "index-seen")
-        tiles = lambda visits: self._tiles(queries, visits, groups, max(TILE, wide * CELL), least, k)
-        first = seen.groupBy("id").agg(F.max(F.struct("bound", "group")).alias("best")).select("id", F.col("best.group").alias("group"))
-        near = written(tiles(first), "index-near")
-        at_least = near.groupBy("a").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-        reach = F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float(least))) - 1e-11
-        rest = seen.join(first.withColumnRenamed("group", "first"), "id").join(at_least.withColumnRenamed("a", "id"), "id", "left")
-        rest = rest.where((F.col("group") != F.col("first")) & (F.col("bound") >= reach)).select("id", "group")
-        both = near.unionByName(tiles(rest))
+        given = _units(self.vectors.select("id", "embedding", "cell")).where("unit is not null")
+        given = written(given.select("id", "cell", "unit"), "index-given")
+        heads = given.groupBy("unit").agg(F.min(F.struct("id", "cell")).alias("head"), F.count("*").alias("copies"))
+        heads = written(heads.select("head.id", "head.cell", "unit", "copies"), "index-heads")
+        near = self._near_heads(heads.select("id", "cell", "unit"), least, k)
+        copied = heads.where("copies > 1").select(F.col("id").alias("head"), "unit")
+        if copied.isEmpty():
+            return near
+        ranked = lambda df, by, n, *order: df.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("nth") <= n).drop("nth")
+        members = written(given.join(copied, "unit").select("head", "id"), "index-members")
+        own = copied.select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("score")).where(F.col("score") >= least)
+        first = ranked(members, "head", k + 1, "id").select(F.col("head").alias("b"), F.col("id").alias("copy"))
+        named = near.unionByName(own).join(first, "b", "left").select("a", F.coalesce("copy", "b").alias("b"), "score")
+        named = written(ranked(named, "a", k + 1, F.desc("score"), "b"), "index-named")
+        heads = copied.select(F.col("head").alias("a"))
+        handed = broadcast_if_small(written(named.join(heads, "a", "left_semi"), "index-handed")).withColumnRenamed("a", "head")
+        handed = members.join(handed, "head").where("id <> b").select(F.col("id").alias("a"), "b", "score")
+        return ranked(named.join(heads, "a", "left_anti").unionByName(handed), "a", k, F.desc("score"), "b")
+
+    def _near_heads(self, heads: DataFrame, least: float, k: int) -> DataFrame:
+        """``neighbours`` of different vectors (id, cell, unit).
+
+        In the order of their cells they are packed as matrices, chunks of up to CHUNK vectors, and consecutive chunks are a
+        block. A block is compared with itself first; the k-th score that a vector has then is what vectors of other chunks
+        must be able to reach, by the angles of a chunk around its centroid. Two blocks meet in one task, with those of their
+        chunks alone that ask for one of the other's or are asked for, so that each two are compared once for both sides.
+        Where vectors point in all directions these are all products; each block travels once to each other block.
+        """
+        kind = heads.schema["id"].dataType.simpleString()
+        n, width = heads.agg(F.count("*"), F.coalesce(F.max(F.size("unit")), F.lit(1))).first()
+        chunk = max(1, min(CHUNK, BLOCK // (16 * width)))
+        many = max(1, min(BLOCK // (8 * width * chunk), max(CHUNKS, -(-n // (chunk * 8)))))
+        nth = numbered(heads.withColumn("width", F.size("unit")), ["width"], [F.col("cell"), F.col("id")])
+        nth = nth.select("id", "unit", "width", "nth", F.expr(f"cast((nth - 1) div {chunk} as int)").alias("chunk"))
+        packed = f"width int, block int, chunk int, ids array<{kind}>, rows binary, centroid array<double>, low double, high double"
+        chunks = written(nth.groupBy("width", "chunk").applyInPandas(_packed(many), packed), "index-chunks")
+        around = written(chunks.select("width", "block", "chunk", "centroid", "low", "high"), "index-around")
+        around = around.drop("block").join(F.broadcast(around.select("width", "block").distinct()), "width")
+        own = f"width int, block int, chunk int, reach array<double>, asks array<int>, a array<{kind}>, b array<{kind}>, score array<double>"
+        both = chunks.groupBy("width", "block").cogroup(around.groupBy("width", "block"))
+        near = written(both.applyInPandas(_own_block(least, k, many), own), "index-near")
+        asks = near.select("width", F.col("chunk").alias("one"), F.explode("asks").alias("other"))
+        ends = [F.expr(f"cast({f}(one, other) div {many} as int)").alias(c) for c, f in (("i", "least"), ("j", "greatest"))]
+        met = written(asks.select("width", *ends, F.explode(F.array("one", "other")).alias("chunk")).distinct(), "index-met")
+        told = near.select("width", "chunk", "reach", "asks")
+        told = broadcast_if_small(told, size=8 * F.size("reach") + 4 * F.size("asks"))
+        sides = chunks.select("width", "block", "chunk", "ids", "rows").join(told, ["width", "chunk"])
+        across = self._tiles(sides, met, least, k)
+        rows = near.select(F.inline(F.arrays_zip("a", "b", "score"))).unionByName(across)
         nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-        return both.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
-
-    def _tiles(self, queries: DataFrame, visits: DataFrame, groups: DataFrame, side: int, least: float, k: int) -> DataFrame:
-        visits = written(visits, "index-tiles")
-        sizes = visits.groupBy("group").agg(F.ceil(F.count("*") / side).cast("long").alias("askers"))
-        held = groups.groupBy("group").agg(F.ceil(F.sum("n") / side).cast("long").alias("blocks"))
-        sizes = broadcast_if_small(written(sizes.join(held, "group"), "index-sizes"))
-        every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
-        ours = visits.join(sizes, "group").join(queries, "id").select(
-            "id", "unit", "group", F.expr("pmod(xxhash64(id, 17), askers)").alias("i"), every("blocks").alias("j"), F.lit(True).alias("left")
-        )
-        cells = _units(self.vectors.select("id", "embedding", "cell")).where("unit is not null")
-        cells = cells.join(broadcast_if_small(groups.select("cell", "group")), "cell")
-        theirs = cells.join(sizes, "group").select(
-            "id", "unit", "group", every("askers").alias("i"), F.expr("pmod(xxhash64(id, 19), blocks)").alias("j"), F.lit(False).alias("left")
-        )
-        kind = self.vectors.schema["id"].dataType.simpleString()
-        tiles = ours.unionByName(theirs).withColumn("width", F.size("unit")).groupBy("group", "i", "j", "width")
-        return tiles.applyInPandas(_nearest_rows(least, k), f"a {kind}, b {kind}, score double")
+        return rows.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+
+    def _tiles(self, sides: DataFrame, met: DataFrame, least: float, k: int) -> DataFrame:
+        """What the blocks i and j of a width find in each other; ``met`` has the chunks that each two need."""
+        kind = sides.schema["ids"].dataType.elementType.simpleString()
+        sent = sides.join(broadcast_if_small(met), ["width", "chunk"])
+        return sent.groupBy("width", "i", "j").applyInPandas(_two_blocks(least, k), f"a {kind}, b {kind}, score double")
 
     def pairs(self, least: float, k: int = 6) -> DataFrame:
         """(a, b, score), a before b: pairs in either side's ``k`` - 1 nearest vectors, at ``least``."""
-        all_ = _units(self.vectors.select("id", "embedding")).where("unit is not null").select("id", "unit")
-        near = self.neighbours(all_, least, k - 1)
+        near = self.neighbours(least, k - 1)
         return near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
 
 
@@ -278,27 +297,131 @@ def _product(a: Column, b: Column) -> Column:
     return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
 
 
-def _nearest_rows(least: float, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The ``k`` nearest right rows of each left row of a tile, by score and then id. Scores are rounded so that equal
-    vectors tie."""
+def _angles(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centers.T, -1.0, 1.0))
+
+
+def _packed(many: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A chunk's vectors as one matrix, with their mean direction and the smallest and largest angle from it."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("nth")
+        width, chunk = int(rows["width"].iloc[0]), int(rows["chunk"].iloc[0])
+        x = np.stack(rows["unit"].to_list())
+        mean = x.mean(axis=0)
+        length = np.linalg.norm(mean)
+        center = mean / length if length > 1e-9 else x[0]
+        toward = _angles(x, center[None])
+        told = (width, chunk // many, chunk, rows["id"].to_numpy(), x.tobytes(), center, toward.min(), toward.max())
+        return pd.DataFrame([told], columns=["width", "block", "chunk", "ids", "rows", "centroid", "low", "high"])
+
+    return run
+
+
+def _matrix(chunks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[slice]]:
+    """The rows of some chunks, their ids, the ids' ranks, and where each chunk lies."""
+    x = np.concatenate([np.frombuffer(r).reshape(-1, w) for r, w in zip(chunks["rows"], chunks["width"])])
+    ids = np.concatenate([np.asarray(i) for i in chunks["ids"]])
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    ends = np.cumsum([len(i) for i in chunks["ids"]])
+    return x, ids, rank, [slice(int(e) - len(i), int(e)) for e, i in zip(ends, chunks["ids"])]
+
+
+def _places(marks: np.ndarray) -> np.ndarray:
+    """Where the few true marks are, in the flattened array: by bytes of eight first."""
+    eights = np.packbits(marks)
+    some = np.flatnonzero(eights)
+    i, j = np.nonzero(np.unpackbits(eights[some]).reshape(-1, 8))
+    return some[i] * 8 + j
+
+
+def _nearest_rows(x: np.ndarray, rank: np.ndarray, rounds: list[list[tuple[slice, slice]]], reach: np.ndarray, k: int):
+    """(a, b, score): the ``k`` nearest rows b of each row a, by score and then rank, of the slices that meet in ``rounds``, each
+    two once; ``reach`` is what a score must be at least, and is raised to the k-th after each round.
+
+    Products in single precision choose, with all that their rounding can hide; the chosen are computed in doubles, and
+    rounded so that equal ones tie."""
+    narrow, hidden = x.astype(np.float32), (x.shape[1] + 8) * 2.0**-24
+    low = (reach - hidden).astype(np.float32)
+    a, b, score, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), []
+
+    def settle() -> None:
+        nonlocal a, b, score, held
+        a, b, score = (np.concatenate([own, *more]) for own, more in zip((a, b, score), zip(*held))) if held else (a, b, score)
+        order = np.lexsort((rank[b], -score, a))
+        a, b, score, held = a[order], b[order], score[order], []
+        top = np.arange(len(a)) - np.searchsorted(a, a) < k
+        a, b, score = a[top], b[top], score[top]
+        found = np.bincount(a, minlength=len(x))
+        full = found == k
+        reach[full] = score[np.cumsum(found)[full] - 1]
+        low[full] = reach[full] - hidden
+
+    for meetings in rounds:
+        many = 0
+        for p, q in meetings:
+            near = narrow[p] @ narrow[q].T
+            hits = _places(near >= min(low[p].min(), low[q].min()))
+            i, j = np.divmod(hits, near.shape[1])
+            chosen = (near[i, j] >= low[p][i]) | (near[i, j] >= low[q][j])
+            i, j = i[chosen], j[chosen]
+            if len(i) > near.size // 16:
+                exact = (x[p] @ x[q].T)[i, j]
+            else:
+                exact = np.einsum("ij,ij->i", x[p][i], x[q][j])
+            i, j, exact = i + p.start, j + q.start, np.round(exact, 12)
+            ours, theirs = (exact >= reach[i]) & (i != j), (exact >= reach[j]) & (p != q)
+            held += [(i[ours], j[ours], exact[ours]), (j[theirs], i[theirs], exact[theirs])]
+            many += len(held[-1][0]) + len(held[-2][0])
+            if many > HELD:
+                settle()
+                many = 0
+        settle()
+    return a, b, score
+
+
+def _own_block(least: float, k: int, many: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The nearest rows of each row of a block within it, and the chunks of other blocks that can hold nearer ones."""
+
+    def run(chunks: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        chunks, around = chunks.sort_values("chunk"), around.sort_values("chunk")
+        x, ids, rank, at = _matrix(chunks)
+        reach, n = np.full(len(x), float(least)), len(at)
+        steps = [0, *(2**i for i in range(n.bit_length())), n]
+        rounds = [[(at[p], at[p + d]) for d in range(s, min(e, n)) for p in range(n - d)] for s, e in zip(steps, steps[1:])]
+        for p in at:  # what the own chunk has is a first bound
+            near = x[p] @ x[p].T
+            np.fill_diagonal(near, -np.inf)
+            if len(near) > k:
+                reach[p] = np.maximum(reach[p], np.partition(near, -k, axis=1)[:, -k] - 1e-11)
+        a, b, score = _nearest_rows(x, rank, rounds, reach, k)
+        other = around["chunk"].to_numpy()
+        centers, low, high = np.stack(around["centroid"].to_list()), around["low"].to_numpy(), around["high"].to_numpy()
+        out = []
+        for c, p in zip(chunks.itertuples(), at):
+            toward, allowed = _angles(x[p], centers), np.arccos(np.clip(reach[p] - SLACK, -1.0, 1.0))
+            open_ = (np.maximum(toward - high, low - toward) <= allowed[:, None] + TURN).any(axis=0) & (other // many != c.block)
+            rows = slice(np.searchsorted(a, p.start), np.searchsorted(a, p.stop))
+            out.append((c.width, c.block, c.chunk, reach[p], other[open_], ids[a[rows]], ids[b[rows]], score[rows]))
+        return pd.DataFrame(out, columns=["width", "block", "chunk", "reach", "asks", "a", "b", "score"])
+
+    return run
+
+
+def _two_blocks(least: float, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The nearest rows that each row of two blocks has in the other."""
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        ours, theirs = tile[tile["left"]], tile[~tile["left"]].sort_values("id")
-        ids, others = ours["id"].to_numpy(), theirs["id"].to_numpy()
-        out = [(ids[:0], others[:0], np.zeros(0))]
-        if len(ids) and len(others):
-            x, y = np.stack(ours["unit"].to_list()), np.stack(theirs["unit"].to_list())
-            for s in range(0, len(ids), 64):
-                score = np.round(x[s : s + 64] @ y.T, 12)
-                score[(score < least) | (ids[s : s + 64, None] == others)] = -np.inf
-                kth = np.partition(score, -k, axis=1)[:, -k] if len(others) > k else np.full(len(score), -np.inf)
-                row, column = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
-                order = np.lexsort((column, -score[row, column], row))
-                row, column = row[order], column[order]
-                top = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, column = row[top], column[top]
-                out.append((ids[s + row], others[column], score[row, column]))
-        a, b, score = (np.concatenate(c) for c in zip(*out))
-        return pd.DataFrame({"a": a, "b": b, "score": score})
+        tile = tile.sort_values("chunk")
+        x, ids, rank, at = _matrix(tile)
+        reach = np.concatenate(tile["reach"].to_list()).astype(float)
+        asked = [set(c) for c in tile["asks"]]
+        sides = [(c, s, asks) for c, s, asks in zip(tile["chunk"], at, asked)]
+        first = tile["block"] == tile["i"]
+        ours, theirs = [s for s, f in zip(sides, first) if f], [s for s, f in zip(sides, first) if not f]
+        met = [(p, q) for c, p, asks in ours for d, q, asking in theirs if d in asks or c in asking]
+        a, b, score = _nearest_rows(x, rank, [met], reach, k)
+        return pd.DataFrame({"a": ids[a], "b": ids[b], "score": score})
 
     return run
